@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, tokens
+from . import chat, exact, packing, simhash, tokens
 from .common import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.mark_duplicates(docs.withColumn("row_key", F.monotonically_increasing_id())).drop("row_key")
@@ -54,8 +58,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest_tokens(_table(spark, sf_dir, "documents"), RANKS)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_token_rollup, op6_chat_format, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op5_token_rollup, op6_chat_format, op8_byte_bpe, op10_packing)}
 
 
 #: Lower-cases A-Z only.
