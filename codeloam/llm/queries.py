@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, packing, simhash, tokens
+from . import canon, chat, exact, packing, pii, simhash, tokens
 from .common import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The key of the registered queries; a real run takes a secret one.
+PII_KEY = "codeloam-demonstration-key"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,11 +26,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.mark_duplicates(docs.withColumn("row_key", F.monotonically_increasing_id())).drop("row_key")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonym_report(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load every document, revise those of 100 to 399 characters to half their counts, delete the shorter
     ones, and replay the first batch, which must change nothing."""
@@ -63,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op5_token_rollup, op6_chat_format, op8_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_canonical, op3_exact_dedup, op4_pii, op5_token_rollup, op6_chat_format, op8_byte_bpe, op10_packing)}
 
 
 #: Lower-cases A-Z only.
