@@ -50,6 +50,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """df as a table with a unique, fixed number for each row in __row."""
+    return materialise(df.withColumn("__row", F.monotonically_increasing_id()), label)
+
+
+def without(df: DataFrame, gone: DataFrame, key: str = "__row") -> DataFrame:
+    """df without the rows whose key is in gone, a table of that one column; sent whole only at a proven size."""
+    return df.join(F.broadcast(gone) if fits(gone, 16) else gone, key, "left_anti")
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> bool:
     """Whether a materialised table of rows of at most row_bytes is proven to stay under limit."""
     return df.count() * row_bytes <= limit

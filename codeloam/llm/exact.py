@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered, without
 
 #: Slots of a bucket, and moves before a filter counts as full.
 SLOTS, MOVES = 4, 64
@@ -167,19 +167,20 @@ def groups(rows: DataFrame, id_type: str) -> DataFrame:
     return own.repartition(shards, "digest").mapInArrow(lambda b: merge(b, True), shape)
 
 
-def exact_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a row_key, as a table, and for each row: row_key, doc_id, keep_id, group_size, kept, text_sha256.
-
-    Equal: the same text after lower-casing A-Z; null is the empty text. Of equal texts the row with
-    the largest doc_id stays; a null doc_id counts as the smallest, and of rows that repeat a doc_id
-    exactly one stays. Other columns are carried in the first table whatever their names, except
-    row_key itself, which is replaced."""
-    keyed = materialise(docs.withColumn("row_key", F.monotonically_increasing_id()), "exact-rows")
-    return keyed, mark_duplicates(keyed)
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that mark_duplicates doesn't keep; all columns, whatever their names."""
+    rows = numbered(docs, "exact-rows")
+    marks = mark_duplicates(rows.select(F.col("__row").alias("row_key"), "doc_id", "text"))
+    gone = materialise(marks.where("not kept").select(F.col("row_key").alias("__row")), "exact-gone")
+    return without(rows, gone).drop("__row")
 
 
 def mark_duplicates(keyed: DataFrame) -> DataFrame:
-    """The decisions of exact_duplicates for rows that have a stable row_key."""
+    """For each row of keyed(row_key, doc_id, text): row_key, doc_id, keep_id, group_size, kept, text_sha256.
+
+    Equal: the same text after lower-casing A-Z; null is the empty text. Of equal texts the row with
+    the largest doc_id stays; a null doc_id counts as the smallest, and of rows that repeat a doc_id
+    exactly one stays. No rows in, no rows out; other columns are ignored."""
     rows = materialise(digests(keyed), "exact-digests")
     shared = groups(rows, rows.schema["doc_id"].dataType.simpleString()).where("group_size > 1")
     of = rows.join(shared.withColumnRenamed("digest", "__digest"), F.col("digest") == F.col("__digest"), "left")

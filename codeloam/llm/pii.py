@@ -128,21 +128,20 @@ def _kind(v: str) -> str:
     return "case " + " ".join(f"when {v} rlike {_sql(f'^(?:{p})$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'card' end"
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with every personal value in `text` replaced, and a column pii: an array of (kind, value,
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", pii: str = "pii") -> DataFrame:
+    """docs with every personal value in `text` replaced, and a column `pii`: an array of (kind, value,
     pseudonym) in order of occurrence (empty where there is none).
 
     Null texts stay null with an empty array; all other columns and all rows are kept; a column of
-    docs named pii is replaced. Whole texts are searched."""
-    found = docs.withColumn("pii", F.when(F.col(text).rlike(r"[0-9]{2}|@|[0-9]\."), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
-    kinds = f"transform(pii, v -> named_struct('kind', {_kind('v')}, 'value', v))"
-    found = found.withColumn("pii", F.expr(f"if(pii is null or size(pii) = 0, cast(array() as array<struct<kind:string,value:string>>), {kinds})"))
-    masks = f"transform(pii, z -> named_struct('kind', z.kind, 'value', z.value, 'pseudonym', transform(array(z.kind), k -> transform(array(z.value), v -> {pseudonym(key)})[0])[0]))"
-    found = found.withColumn("pii", F.expr(masks))
-    parts = F.split(F.col(text), ANY, -1)
-    whole = found.withColumn("__parts", F.when(F.size("pii") > 0, parts))
-    joined = F.expr("concat(__parts[0], array_join(transform(pii, (z, i) -> concat(z.pseudonym, __parts[i + 1])), ''))")
-    return whole.withColumn(text, F.when(F.size("pii") > 0, joined).otherwise(F.col(text))).drop("__parts")
+    that name is replaced. Whole texts are searched."""
+    found = docs.withColumn(pii, F.when(F.col(text).rlike(r"[0-9]{2}|@|[0-9]\."), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
+    kinds = f"transform({pii}, v -> named_struct('kind', {_kind('v')}, 'value', v))"
+    found = found.withColumn(pii, F.expr(f"if({pii} is null or size({pii}) = 0, cast(array() as array<struct<kind:string,value:string>>), {kinds})"))
+    masks = f"transform({pii}, z -> named_struct('kind', z.kind, 'value', z.value, 'pseudonym', transform(array(z.kind), k -> transform(array(z.value), v -> {pseudonym(key)})[0])[0]))"
+    found = found.withColumn(pii, F.expr(masks))
+    whole = found.withColumn("__parts", F.when(F.size(pii) > 0, F.split(F.col(text), ANY, -1)))
+    joined = F.expr(f"concat(__parts[0], array_join(transform({pii}, (z, i) -> concat(z.pseudonym, __parts[i + 1])), ''))")
+    return whole.withColumn(text, F.when(F.size(pii) > 0, joined).otherwise(F.col(text))).drop("__parts")
 
 
 def pseudonym_report(docs: DataFrame, key: str) -> DataFrame:

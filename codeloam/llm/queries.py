@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canon, chat, exact, packing, pii, simhash, tokens
+from . import canon, chat, exact, langid, licenses, packing, pii, simhash, tokens
 from .common import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,16 +65,24 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")), RANKS)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest_tokens(_table(spark, sf_dir, "documents"), RANKS)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_canonical, op3_exact_dedup, op4_pii, op5_token_rollup, op6_chat_format, op8_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_canonical, op3_exact_dedup, op4_pii, op5_token_rollup, op6_chat_format, op7_licenses, op8_byte_bpe, op9_language, op10_packing)}
 
 
 #: Lower-cases A-Z only.
