@@ -81,7 +81,7 @@ _WORDS_SQL = "filter(split(lower(coalesce(text, '')), '" + _GAP.replace("\\", "\
 
 def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, license, n_passages, containment (of the best passage) and first_word, for each license found
-    in a document's whole text.
+    in a document's whole text. A passage that fits several templates counts for the one it holds most of.
 
     Null and short texts hold none; repeated doc_ids are one document; documents without a license give no
     row; other columns are ignored. The templates are a bounded list, collected and broadcast."""
@@ -114,7 +114,8 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFram
     around = f"transform(sequence(0, size(w) - {WORDS}), i -> {_shingle('i')})"
     exact = found.withColumn("containment", F.expr(f"size(array_intersect(shingles, {around})) / size(shingles)")).where(f"containment >= {CONTAINED}")
     place = exact.withColumn("offset", F.expr(f"greatest(0, start - size) + aggregate(sequence(0, size(w) - {WORDS}), -1, (p, i) -> if(p < 0 and array_contains(shingles, {_shingle('i')}), i, p))"))
-    passages = place.groupBy("doc_id", "license", "template", "offset").agg(F.max("containment").alias("containment"))
+    # where several templates start at one word, the passage is the one it holds most of
+    passages = place.groupBy("doc_id", "offset").agg(F.max_by("license", F.struct("containment", F.size("shingles"), "template")).alias("license"), F.max("containment").alias("containment"))
     return passages.groupBy("doc_id", "license").agg(
         F.count(F.lit(1)).cast("long").alias("n_passages"), F.max("containment").alias("containment"), F.min("offset").cast("int").alias("first_word")
     )

@@ -1,0 +1,379 @@
+"""Every operator on small tables with nulls, empty and repeated rows, ties and clashing names."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from codeloam.llm import canon, chat, exact, langid, licenses, packing, pii, simhash, tokens
+
+RANKS, VOCABULARY = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, row_key string, pii int, digest string"
+
+
+def corpus() -> list[tuple[int | None, str | None]]:
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "del", "ép") for b in ("mo", "ri", "Tu", "ña", "x9")]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 5, 40, 200])))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 40, 4)] + [(200 + i, rows[i][1].upper()) for i in range(0, 40, 8)]
+    near = rows[7][1] + " " + " ".join(rng.choices(words, k=120))
+    rows += [(300 + i, near.replace("almo", "changed", i)) for i in range(6)]
+    return [*rows, (400, None), (401, ""), (402, "  \t\n"), (403, "a" * 5000), (404, "'s " * 3000), (405, "ﬁn Straße"), (406, "FIN  STRASSE ")]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 1, "d") for i, t in rows], SHAPE)
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute_fingerprint(text, k=3):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", ascii_lower(text).encode())
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(rows, bits=3):
+    prints = [brute_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)].append(doc)
+    return sorted((doc, f"{prints[i]:016x}", min(least[find(i)])) for i, (doc, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("homes", [4096, 4])
+def test_simhash_equals_brute_force(spark, monkeypatch, homes):
+    monkeypatch.setattr(simhash, "SHARD_HOMES", homes)
+    monkeypatch.setattr(simhash, "DIRECT", 64)
+    rows = corpus() + [(7, "repeated id"), (7, "repeated id")]
+    got = simhash.simhash_components(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+
+
+def test_simhash_links_on_random_fingerprints():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 6)], base ^ np.uint64(0b1011 << 29)]))
+    want = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3).astype(int)
+    for _ in range(6):
+        want = ((want @ want) > 0).astype(int)
+    for block in (0, 1):
+        trees = simhash.fit_tree(simhash._block(fp[:, None], block, 2), 5)
+        joined = np.zeros((len(fp), len(fp)), int)
+        homes = np.zeros(len(fp), int)
+        for _, who, home in simhash._deal(trees, simhash._block(fp[:, None], block, 2), 1):
+            homes[who[home]] += 1
+            root = simhash.link_shard(fp[who][:, None], home, simhash._block(fp[who][:, None], block, 2), 3, 1)
+            joined[who[:, None], who[None, :]] |= root[:, None] == root[None, :]
+        assert (homes == 1).all()
+        total = joined if block == 0 else total | joined
+    for _ in range(8):
+        total = ((total @ total) > 0).astype(int)
+    assert (total == want).all()
+
+
+def test_a_fingerprint_is_the_same_in_any_block_size(monkeypatch):
+    text = (" ".join(f"W{i % 37}x" for i in range(500)) + "\n\t end").encode()
+    whole = simhash.fingerprint(text, 3), simhash.fingerprint(text, 5, 4)
+    monkeypatch.setattr(simhash, "_BLOCK_BYTES", 50)
+    assert (simhash.fingerprint(text, 3), simhash.fingerprint(text, 5, 4)) == whole
+    assert whole[0].hex() == f"{brute_fingerprint(text.decode()):016x}"
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(30)]
+    copies = [(1000 + i, t.replace(t.split()[150], "other", 1)) for i, t in docs[:10]]
+    left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, docs + copies)).collect()}
+    assert left == {i for i, _ in docs}
+    assert simhash.missed(0.85, simhash.WIDE_BLOCKS, simhash.WIDE_LANES) < 0.02
+
+
+def test_exact_duplicates(spark):
+    rows = corpus() + [(100, corpus()[0][1]), (100, corpus()[0][1]), (None, corpus()[0][1])]
+    docs = frame(spark, rows)
+    marks = exact.mark_duplicates(docs.selectExpr("monotonically_increasing_id() as row_key", "doc_id", "text")).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[ascii_lower(t)].append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        for i in ids:
+            want[(i, max(x for x in ids if x is not None), len(ids), hashlib.sha256(t.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in marks) == want
+    assert Counter(r.text_sha256 for r in marks if r.kept) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+    assert all(r.doc_id == r.keep_id for r in marks if r.kept)
+    kept = exact.drop_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_cuckoo_index_inserts_deletes_and_resizes():
+    rng = random.Random(2)
+    index, live = exact.CuckooIndex(4), {}
+    for step in range(6000):
+        digest = hashlib.sha256(str(rng.randrange(900)).encode()).digest()
+        if rng.random() < 0.35:
+            assert index.delete(digest) == (live.pop(digest, None) is not None)
+        else:
+            index.insert(digest, step)
+            live[digest] = step
+    assert index.resized > 0 and dict(index.items()) == live and index.live == len(live)
+    crowd = [bytes(8) + bytes([1, 0]) + hashlib.sha256(bytes([i])).digest() for i in range(9)]  # the same two buckets at any size
+    for k, d in enumerate(crowd[:8]):
+        index.insert(d, k)
+    assert [index.value(d) for d in crowd[:8]] == list(range(8)) and index.value(crowd[8]) is None
+
+
+def brute_canon(text):
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", text).strip(" ")
+
+
+def brute_digest(text, lanes=4):
+    raw = brute_canon(text).encode()
+    return "".join(f"{xxhash.xxh64_intdigest(raw, 42 if not k else xxhash.xxh64_intdigest(k.to_bytes(8, 'little'), 42)):016x}" for k in range(lanes))
+
+
+def test_canonical_fingerprints(spark):
+    rows = corpus()
+    got = {r.doc_id: r for r in canon.fingerprint_with_edits(frame(spark, rows)).collect()}
+    ring = sorted(rows, key=lambda r: -r[0])
+    assert len(got) == len(rows)
+    for k, (doc, text) in enumerate(ring):
+        text, after = text or "", ring[(k + 1) % len(ring)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = brute_digest(text), brute_digest(edited), brute_digest(after)
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b)
+        assert (r.near_edited, r.near_next) == (float(a == b), float(a == c))
+    assert got[405].fingerprint == got[406].fingerprint
+
+
+def test_texts_under_one_digest_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(canon, "digest", lambda c: F.lpad(F.hex(F.length(c)), 4, "0"))  # collides by length
+    rows = [(1, "abc"), (2, "ABC"), (3, "xyz"), (4, "long text")]
+    got = {r.doc_id: r.fingerprint for r in canon.fingerprint_with_edits(frame(spark, rows)).collect()}
+    assert got[1] == got[2] != got[3] and got[4] not in (got[1], got[3])
+
+
+def test_canonical_edge_cases(spark):
+    assert canon.fingerprint_with_edits(frame(spark, [])).count() == 0
+    one = canon.fingerprint_with_edits(frame(spark, [(5, "abcd")])).collect()
+    assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one[0].near_next == 1.0
+    assert canon.fingerprint_with_edits(frame(spark, [(1, "a b"), (1, "a b"), (1, "c"), (None, "n"), (None, None)])).count() == 5
+
+
+PRIVATE = {
+    "email": "jo.doe7@mail.example.com", "secret": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "phone": "+1 (136) 555-7479", "date": "1987-02-28",
+    "address": "152.143.123.131", "identity": "078-05-1120", "card": "4111 1111 1111 1111",
+}
+
+
+def luhn(value):
+    digits = [int(c) for c in value if c.isdigit()][::-1]
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_pseudonyms_keep_their_format(spark):
+    text = " and ".join(f"<{v}>!" for v in PRIVATE.values()) + " v4.0. 3.14 2024-13-45 1.2.3 99 SRC_0"
+    rows = [(1, text), (2, text.upper()), (3, "plain, no 12 numbers"), (4, None), (5, ""), (1, text), (6, "31.12.1999/4111-1111-1111-1111")]
+    got = pii.pseudonymise(frame(spark, rows), "key")
+    out = defaultdict(list)
+    for r in got.collect():
+        out[r.doc_id].append(r)
+    assert got.columns == [*[c for c in frame(spark, []).columns]] and sum(map(len, out.values())) == len(rows)
+    found = {p.kind: (p.value, p.pseudonym) for p in out[1][0].pii if p.kind != "date" or p.value == PRIVATE["date"]}
+    assert {k: v[0] for k, v in found.items()} == PRIVATE
+    new = out[1][0].text
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", s))
+    for kind, (old, alias) in found.items():
+        assert old not in new and alias in new and alias != old
+        if kind not in ("address", "secret"):
+            assert shape(old) == shape(alias)
+    assert luhn(PRIVATE["card"]) and luhn(found["card"][1])
+    assert all(0 <= int(o) <= 255 for o in found["address"][1].split("."))
+    assert np.datetime64(found["date"][1]) >= np.datetime64("1900-01-01")
+    assert re.fullmatch("[0-9a-f]{40}", found["secret"][1]) and found["email"][1].endswith("@mail.example.com")
+    assert out[2][0].text.lower() == out[1][0].text.lower() == out[1][1].text.lower()  # linked whatever the case
+    assert (out[3][0].text, out[4][0].text, out[5][0].text) == (rows[2][1], None, "") and len(out[4][0].pii) == 0
+    linked = {p.kind: p.pseudonym for p in out[6][0].pii}
+    assert linked["card"].replace("-", "") == found["card"][1].replace(" ", "")
+    assert "v4.0. 3.14" in new and " 1.2.3 99 SRC_0" in new
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    days = spark.range(2000).selectExpr("id as doc_id", "date_format(date_add(date'1990-01-01', cast(id as int)), 'yyyy-MM-dd') as text")
+    assert pii.pseudonymise(days, "k").select("text").distinct().count() == 2000
+    cards = spark.range(500).selectExpr("id as doc_id", "lpad(cast(id * 7919 as string), 16, '4') as text")
+    assert pii.pseudonymise(cards, "k").select("text").distinct().count() == 500
+    hosts = spark.range(500).selectExpr("id as doc_id", "concat('10.', id % 250, '.', id div 250, '.7') as text")
+    assert pii.pseudonymise(hosts, "k").select("text").distinct().count() == 500
+
+
+def test_token_ledger_is_idempotent(spark, tmp_path):
+    ledger = tokens.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.totals().count() == 0
+    shape = "sign int, source string, lang string, tokenizer string, n_tokens long, n_chars long"
+    rows = lambda *x: spark.createDataFrame(list(x), shape)
+    assert ledger.commit("b1", rows((1, "s", "en", "v", 10, 40), (1, "s", "en", "v", 5, 20), (1, None, None, "v", 3, None), (1, "t", "en", "v", 8, 9)))
+    assert not ledger.commit("b1", rows((1, "s", "en", "v", 99, 99)))
+    assert ledger.commit("b2", rows((-1, "s", "en", "v", 5, 20), (1, "s", "en", "v", 7, 21), (-1, "t", "en", "v", 8, 9)))
+    assert ledger.commit("b3", rows())
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in ledger.totals().collect()}
+    assert got == {("s", "en"): (2, 17, 61), (None, None): (1, 3, 0)}
+    with pytest.raises(ValueError):
+        ledger.committed("../x")
+
+
+def test_token_counts_and_digests(spark):
+    rows = corpus()
+    right = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r for r in tokens.digest_tokens(frame(spark, rows), RANKS).collect()}
+    counts = {r.doc_id: r.n_tokens for r in tokens.count_tokens(frame(spark, rows), RANKS, ["doc_id"]).collect()}
+    for doc, text in rows:
+        ids = right.encode(text or "", add_special_tokens=False).ids
+        assert counts[doc] == got[doc].n_tokens == len(ids)
+        assert got[doc].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[doc].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert tokens.digest_tokens(frame(spark, []), RANKS).count() == 0
+
+
+def test_chat_round_trip(spark):
+    probe = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 2, "assistant", "two"), (1, 1, "user", "one <|"), (2, 0, "assistant", None), (2, 0, "assistant", ""), (3, 0, None, "x"), (4, 0, "as<|sist", "<\\|im_end|>\n"), (5, 1, "assistant", probe), (5, 2, "assistant", "ü" * 4000), (None, 1, "user", "n")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, ids int")
+    got = {r.conv_id: r for r in chat.digest_conversations(chat.with_probe(df), RANKS).collect()}
+    rows += [(-1, 0, "user", probe), (-1, 1, "assistant", probe)]
+    assert set(got) == {r[0] for r in rows}
+    for conv in got:
+        own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv))
+        said, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.loss_chars) == (len(own), len(loss))
+        assert r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    coder = chat.encoder(RANKS)
+    turns = [("user", probe), ("assistant", "a" + probe), ("assistant", "<\\\\|")]
+    ids, mask = chat.assemble(coder, turns)
+    assert chat.read_back(coder, ids, mask)[0] == turns
+    assert chat.render(coder, ids).count(chat.BEGIN) == 3 and (ids == coder.top + 1).sum() == 3
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest_conversations(empty, RANKS).count() == 0
+
+
+def test_licenses(spark):
+    gpl, mit = licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["MIT"][2]
+    filler = " ".join(f"word{i}" for i in range(300))
+    cut = mit.split()
+    cut[40] = "CHANGED"
+    rows = [(1, f"{filler}\nReleased under the MIT   License!\n{filler}"), (2, f"{filler} {gpl.upper()} {filler}"), (3, filler), (4, None), (5, ""), (6, "MIT License"), (7, f"x {' '.join(cut)} y"), (8, f"{mit} {filler} {mit}"), (9, " ".join(mit.split()[:30])), (3, filler)]
+    got = {(r.doc_id, r.license): r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert set(got) == {(1, "MIT"), (2, "GPL-3.0"), (7, "MIT"), (8, "MIT")}
+    assert got[(8, "MIT")].n_passages == 2 and 0.8 <= got[(7, "MIT")].containment < 1 and got[(1, "MIT")].first_word == 300
+    assert licenses.miss_probability(0.55) < 1e-3 and licenses.scan(frame(spark, [])).count() == 0
+
+
+def spoken(n, seed):
+    rng = random.Random(seed)
+    parts = {"en": ["the", "ing", "th", "er"], "de": ["sch", "ung", "ei", "ge"], "es": ["ción", "os", "ll", "ña"]}
+    out = []
+    for i in range(n):
+        lang = sorted(parts)[i % 3]
+        out.append((" ".join("".join(rng.choices(parts[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 60))), lang))
+    return out
+
+
+def test_language_of_held_out_and_mixed_texts():
+    train, test = spoken(150, 1), spoken(60, 2)
+    model = langid.fit([t for t, _ in train], [lang for _, lang in train])
+    found = langid.label([t for t, _ in test], model)
+    assert sum(a == lang for (a, _), (_, lang) in zip(found, test)) >= 57
+    assert langid.label(["", "12 .,", "İΣ the thing"], model)[:2] == [("und", 0.0)] * 2
+    words, counts = langid.words_of(["the thing", "", "Ünd ung"])
+    assert counts.tolist() == [2, 0, 2] and [w.decode() for w in words.to_pylist()] == ["the", "thing", "ünd", "ung"]
+    scores = model.emissions(words)
+    chains = langid.marginals(scores.astype(float), np.array([0, 2]), model)
+    for a, b in ((0, 2), (2, 4)):
+        alone, _ = langid._posterior(scores[None, a:b].astype(float), model.transitions, model.initial)
+        assert np.allclose(alone[0], chains[a:b])
+    mixed = " ".join(["thing thering"] * 8 + ["schung geschei"] * 8)
+    words, _ = langid.words_of([mixed])
+    best = langid.marginals(model.emissions(words).astype(float), np.array([0]), model).argmax(1)
+    assert [model.languages[b] for b in best[[0, 5, -5, -1]]] == ["en", "en", "de", "de"]
+
+
+def test_language_query(spark):
+    rows = spoken(120, 3)
+    df = spark.createDataFrame([(i, t, lang if i % 7 else None, "x") for i, (t, lang) in enumerate(rows)] + [(500, None, "en", "x"), (501, "1 2", "en", "x"), (None, "the thing", None, None)], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in langid.predict(df).collect()}
+    assert len(got) == 123 and got[500].lang_pred == got[501].lang_pred == "und" and got[500].score == 0
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None) and got[None].held_out is False
+    assert sum(got[i].lang_pred == lang for i, (_, lang) in enumerate(rows)) >= 110
+    assert all(0 <= r.score <= 1 + 1e-9 for r in got.values())
+    nothing = langid.predict(df.where("false"))
+    assert nothing.count() == 0 and langid.predict(df.withColumn("lang", df.lang.substr(100, 1)).where("doc_id = 1").selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()[0].lang_pred == "und"
+
+
+def test_packing_is_whole_and_gapless(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 40)
+    rows = corpus() + [(7, corpus()[7][1])]
+    got = packing.pack_documents(frame(spark, rows), VOCABULARY, 64).collect()
+    right = Tokenizer.from_file(VOCABULARY)
+    want = Counter()
+    for doc, text in rows:
+        ids = np.array([*right.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 64 + 1
+        for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 64)], [*range(first, len(ids) + 1, 64)])):
+            want[(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack_documents(frame(spark, []), VOCABULARY).count() == 0
+
+
+def test_islands_improve_on_best_fit(spark, monkeypatch):
+    rng = random.Random(1)
+    sizes = []
+    for _ in range(60):  # triples that fill a bin exactly, the hardest for best-fit
+        a, b = rng.randrange(26, 50), rng.randrange(26, 36)
+        sizes += [a, b, 100 - a - b] if 100 - a - b >= 20 else [50, 25, 25]
+    seed = packing.best_fit_decreasing(sizes, 100)
+    assert len(seed) > packing.lower_bound(sizes, 100)
+    monkeypatch.setattr(packing, "GENERATIONS", 60)
+    best = packing.evolve([seed], sizes, 100, random.Random(4))
+    assert len(best) <= len(seed) and sorted(i for b in best for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 100 for b in best)
+    pieces = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "row_key long, length long")
+    placed = packing.pack(pieces, 100).collect()
+    assert len({r.sequence_id for r in placed}) <= len(seed) and sorted(r.row_key for r in placed) == list(range(len(sizes)))
