@@ -160,6 +160,7 @@ class Encoder:
             with open(path, "rb") as f:
                 self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.vocabulary = {i: t for t, i in self.ranks.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.top = max(self.vocabulary)
         self._joins = None
         self._forget()
         self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None

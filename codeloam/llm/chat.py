@@ -38,8 +38,7 @@ def unescape(text: str) -> str:
 
 def reserved(coder: Encoder) -> tuple[int, int]:
     """Two ids past the vocabulary."""
-    top = max(coder.vocabulary) + 1
-    return top, top + 1
+    return coder.top + 1, coder.top + 2
 
 
 def assemble(coder: Encoder, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
