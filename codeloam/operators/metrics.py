@@ -21,11 +21,16 @@ def ordered_sum(value: Column, *order: Column) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["v"])
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum that no order of additions can change: exact decimals, combined before the shuffle."""
+    return F.sum(value.cast("decimal(28,15)")).cast("double")
+
+
 def function_totals(functions: DataFrame) -> DataFrame:
     """rev, bucket, functions, mass, mass_over_cc_10: outermost functions only."""
     top = functions.where("depth = 0")
     return top.groupBy("rev", "bucket").agg(
-        F.count(F.lit(1)).alias("functions"), F.sum("mass").alias("mass"), F.sum(eroded(F.col("cc"), F.col("mass"))).alias("mass_over_cc_10")
+        F.count(F.lit(1)).alias("functions"), exact_sum(F.col("mass")).alias("mass"), exact_sum(eroded(F.col("cc"), F.col("mass"))).alias("mass_over_cc_10")
     )
 
 

@@ -40,7 +40,7 @@ class _Lexed:
             pending = False
             self.kind.append(kind)
             self.span.append(m.span())
-        self.partner, self.around, stack = {}, [], []
+        self.partner, self.around, self.composite, stack = {}, [], set(), []
         for i in range(len(self.kind)):
             t = self.word(i)
             if self.kind[i] == "sign" and t in ")]}":
@@ -227,7 +227,7 @@ def _type_start(x: _Lexed, opener: int) -> int:
     if j < 0 or x.word(j) in ("{", ",", ":", "(", "="):
         return opener
     start = _operand_start(x, j)
-    while start and (x.word(start - 1) in ("]", "*", "&") or x.word(start - 1) == "map"):
+    while start and (x.word(start - 1) in ("]", "*", "&", "func", "map")):
         start = x.partner[start - 1] if x.word(start - 1) == "]" else start - 1
     if start and x.word(start - 1) == "map":
         start -= 1
@@ -237,6 +237,8 @@ def _type_start(x: _Lexed, opener: int) -> int:
 def _is_literal(x: _Lexed, opener: int) -> bool:
     """Whether a brace opens a composite literal rather than a block."""
     before = x.word(opener - 1)
+    if opener in x.composite:
+        return True
     if before in ("{", ",", ":") and x.word(x.around[opener]) == "{":
         return True
     if opener == 0 or before == ")" or before in KEYWORDS and before not in ("struct", "interface"):
@@ -304,7 +306,10 @@ def _functions(x: _Lexed) -> tuple[list[Function], list[Function]]:
         if x.kind[i] != "word" or x.word(i) != "func":
             continue
         if i and x.word(i - 1) == "]" and not x.ended[i]:
-            continue  # the type of elements
+            opener = x.skip_signature(i + 1)  # the type of a literal's elements
+            if x.word(opener) == "{" and not x.ended[opener]:
+                x.composite.add(opener)
+            continue
         if x.around[i] < 0 and x.word(i + 1) != "(" or x.around[i] < 0 and x.kind[x.partner[i + 1] + 1] == "word" and x.word(x.partner[i + 1] + 2) in ("(", "["):
             if _statement_start(x, i) != i:
                 continue
