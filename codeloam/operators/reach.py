@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 def reach(seeds: DataFrame, edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """node, bucket of all states reached from seeds(node, bucket) over edges(src, dst, test_only, uncertain, forced).
 
-    An edge for tests leads to 'tests', an uncertain one to 'source', any other keeps the bucket; a node
-    that is forced is always 'tests'. Breadth first: each round joins the newest states only and drops the
+    An uncertain edge leads to 'source', one for tests to 'tests', any other keeps the bucket; a node that
+    is forced is always 'tests'. Breadth first: each round joins the newest states only and drops the
     known ones; keep() writes a round, so lineage stays short. At most one round a state."""
     seen = keep(seeds.select("node", "bucket").distinct(), "reach-0")
     fresh, k = seen, 0
     while not fresh.isEmpty():
         k += 1
-        to = F.when(F.col("test_only") | F.col("forced"), "tests").when(F.col("uncertain"), "source").otherwise(F.col("bucket"))
+        to = F.when(F.col("forced"), "tests").when(F.col("uncertain"), "source").when(F.col("test_only"), "tests").otherwise(F.col("bucket"))
         step = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node"), to.alias("bucket")).distinct()
         fresh = keep(step.join(seen, ["node", "bucket"], "left_anti"), f"reach-{k}")
         seen = seen.unionByName(fresh)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 
 @dataclass
@@ -63,7 +64,7 @@ class Result:
     error: str | None = None
 
 
-_SCRIPT_LINES = re.compile("\r\n|[\n\r  ]")
+_SCRIPT_LINES = re.compile("\r\n|[\n\r\u2028\u2029]")
 
 
 def line_ends(text: str, script: bool) -> list[int]:
@@ -76,7 +77,7 @@ def line_ends(text: str, script: bool) -> list[int]:
 def is_blank(c: str, script: bool = False) -> bool:
     """Unicode white space; scripts also take the byte order mark and all space separators."""
     if script:
-        return c in "\t\x0b\x0c \xa0﻿\n\r  " or unicodedata.category(c) == "Zs"
+        return c in "\t\x0b\x0c \xa0\ufeff\n\r\u2028\u2029" or unicodedata.category(c) == "Zs"
     return c in "\t\n\x0b\x0c\r \x85\xa0" or unicodedata.category(c) in ("Zs", "Zl", "Zp")
 
 
@@ -87,7 +88,7 @@ def blank_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
         if b <= at:
             continue
         a = max(a, at)
-        out += [text[at:a], re.sub("[^\r\n  ]", " ", text[a:b])]
+        out += [text[at:a], re.sub("[^\r\n\u2028\u2029]", " ", text[a:b])]
         at = b
     return "".join([*out, text[at:]])
 
@@ -132,6 +133,10 @@ def flat(functions: list[Function], bucket: str = "source") -> list[dict]:
     return rows
 
 
+def module_json(modules: list[Module]) -> str:
+    return json.dumps([asdict(m) for m in modules])
+
+
 ANALYSERS: dict[str, Callable[[str, bytes], Result]] = {}
 
 

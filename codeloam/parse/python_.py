@@ -36,7 +36,7 @@ def _decode(content: bytes) -> str:
         text = content.decode(name)
     except (SyntaxError, UnicodeDecodeError, LookupError):
         text = content.decode("latin-1")
-    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def _compact(text: str) -> str:

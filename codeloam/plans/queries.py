@@ -411,8 +411,8 @@ def trend_sparkline(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS src, (o_custkey * 7 + o_orderkey) % 97 AS dst, o_orderkey % 5 = 0 AS test_only, o_orderkey % 11 = 0 AS uncertain, ((o_custkey * 7 + o_orderkey) % 97) % 10 = 9 AS forced FROM orders WHERE o_orderkey % 40 = 1),
- r AS (SELECT 0 AS node, 'source' AS bucket UNION SELECT e.dst, CASE WHEN e.test_only OR e.forced THEN 'tests' WHEN e.uncertain THEN 'source' ELSE r.bucket END FROM r JOIN e ON e.src = r.node),
- n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 0), r2 AS (SELECT node, 'source' AS bucket FROM n WHERE node NOT IN (SELECT node FROM r) UNION SELECT e.dst, CASE WHEN e.test_only OR e.forced THEN 'tests' WHEN e.uncertain THEN 'source' ELSE r2.bucket END FROM r2 JOIN e ON e.src = r2.node)
+ r AS (SELECT 0 AS node, 'source' AS bucket UNION SELECT e.dst, CASE WHEN e.forced THEN 'tests' WHEN e.uncertain THEN 'source' WHEN e.test_only THEN 'tests' ELSE r.bucket END FROM r JOIN e ON e.src = r.node),
+ n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 0), r2 AS (SELECT node, 'source' AS bucket FROM n WHERE node NOT IN (SELECT node FROM r) UNION SELECT e.dst, CASE WHEN e.forced THEN 'tests' WHEN e.uncertain THEN 'source' WHEN e.test_only THEN 'tests' ELSE r2.bucket END FROM r2 JOIN e ON e.src = r2.node)
  SELECT CAST(node AS BIGINT) AS node, min(bucket) AS bucket FROM (SELECT * FROM r UNION SELECT * FROM r2) GROUP BY node""")
 def ext_reachability(spark, sf_dir):
     orders = A.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 1")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions.text import mass
-from ..operators import clones, metrics
+from ..operators import clones, metrics, modules
 from ..schema import MAX_BYTES
 from ..sources import config as C
 from ..sources import directory as D
@@ -26,7 +26,7 @@ VERSION = "1"
 _FN = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("ord", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("name", T.StringType()), ("bucket", T.StringType()), ("line", T.IntegerType()), ("cc", T.IntegerType()), ("sloc", T.IntegerType()))]))
 _TOKEN = T.ArrayType(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("line", T.IntegerType()), T.StructField("end_line", T.IntegerType())]))
 _LINE = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("bucket", T.StringType())]))
-ANALYSIS = T.StructType([T.StructField("oid", T.StringType()), T.StructField("dialect", T.StringType()), T.StructField("status", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()), T.StructField("git_lines", T.BooleanType()), T.StructField("functions", _FN), T.StructField("tokens", _TOKEN), T.StructField("lines", _LINE)])
+ANALYSIS = T.StructType([T.StructField("oid", T.StringType()), T.StructField("dialect", T.StringType()), T.StructField("status", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()), T.StructField("git_lines", T.BooleanType()), T.StructField("functions", _FN), T.StructField("tokens", _TOKEN), T.StructField("lines", _LINE), T.StructField("modules", T.StringType()), T.StructField("test_only", T.BooleanType())])
 
 _LEADING = re.compile(rb"(?s)\s*(//[^\n]*\n?|/\*.*?\*/|<!--.*?-->)")
 _HASH = re.compile(rb"\s*(#[^\n]*\n?)")
@@ -58,13 +58,13 @@ def is_generated(content: bytes, dialect: str, truncated: bool = False) -> bool:
 
 
 def _analyse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from ..parse import go, python_  # noqa: F401  they register themselves
-    from ..parse.common import ANALYSERS, flat
+    from ..parse import go, python_, rust, typescript  # noqa: F401  they register themselves
+    from ..parse.common import ANALYSERS, flat, module_json
 
     for frame in frames:
         rows = []
         for oid, dialect, size, path, content in zip(frame["oid"], frame["dialect"], frame["size"], frame["path"], frame["content"]):
-            row = dict.fromkeys(ANALYSIS.names) | {"oid": oid, "dialect": dialect, "status": "ok", "warnings": [], "git_lines": True, "functions": [], "tokens": [], "lines": []}
+            row = dict.fromkeys(ANALYSIS.names) | {"oid": oid, "dialect": dialect, "status": "ok", "warnings": [], "git_lines": True, "functions": [], "tokens": [], "lines": [], "modules": "[]", "test_only": False}
             if is_generated(content, dialect, size > len(content)):
                 row["status"] = "generated"
             elif size > MAX_BYTES:
@@ -73,7 +73,7 @@ def _analyse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row["warnings"] = [f"no analyser for {dialect}"]
             else:
                 r = run("", content)
-                row |= {"warnings": [w.removeprefix(": ") for w in r.warnings], "error": r.error and r.error.removeprefix(": "), "git_lines": r.git_line_coordinates, "functions": flat(r.functions), "tokens": [{"text": t.text, "line": t.line, "end_line": t.end_line} for t in r.tokens], "lines": [{"line": a, "bucket": b} for a, b in r.source_lines]}
+                row |= {"warnings": [w.removeprefix(": ") for w in r.warnings], "error": r.error and r.error.removeprefix(": "), "git_lines": r.git_line_coordinates, "functions": flat(r.functions), "tokens": [{"text": t.text, "line": t.line, "end_line": t.end_line} for t in r.tokens], "lines": [{"line": a, "bucket": b} for a, b in r.source_lines], "modules": module_json(r.modules), "test_only": r.test_only}
             rows.append(row)
         yield pd.DataFrame(rows, columns=ANALYSIS.names)
 
@@ -117,15 +117,38 @@ def _analysed(listing: DataFrame, read, cache: str | None) -> DataFrame:
     return fresh if known is None else fresh.unionByName(known)
 
 
-def snapshot(listing: DataFrame, read, cache: str | None = None) -> Snapshot:
-    """listing: rev, path, oid, size, language, dialect, file_bucket; read adds content to rows with oid and path."""
-    listing = keep(listing, "listing")
-    revisions = listing.select("rev").distinct()
+def _module_buckets(files: DataFrame, ok: DataFrame, everything: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """ok with the buckets that Rust files are reached in, and warnings; nothing to do without Rust."""
+    rust = ok.where("language = 'rust'").select("rev", "path", F.col("file_bucket").alias("bucket"), "test_only", "modules")
+    if rust.isEmpty():
+        return ok, None
+    known = everything.select("rev", "path")
+    packages = known.where(paths.base_name(F.col("path")) == "Cargo.toml").select("rev", F.regexp_replace("path", "/?Cargo\\.toml$", "").alias("path"))
+    ignored = known.where("path like '%.rs'").join(rust.select("rev", "path"), ["rev", "path"], "left_anti")
+    buckets, warnings = modules.classify(rust, packages, ignored, keep)
+    moved = ok.join(buckets.withColumnRenamed("bucket", "reached"), ["rev", "path"], "left")
+    return keep(moved.withColumn("file_bucket", F.coalesce("reached", "file_bucket")).drop("reached"), "files-reached"), warnings
+
+
+def snapshot(everything: DataFrame, config, read, cache: str | None = None) -> Snapshot:
+    """everything: rev, path, oid, size of all files, content unread; config: one, or one for each revision;
+    read adds content to rows that have oid and path."""
+    everything = keep(everything, "listing")
+    if isinstance(config, C.Config):
+        listing = _candidates(everything, config)
+    else:
+        listing = None
+        for rev, own in config.items():
+            one = _candidates(everything.where(F.col("rev") == rev), own)
+            listing = one if listing is None else listing.unionByName(one)
+    listing = keep(listing, "candidates")
+    revisions = everything.select("rev").distinct()
     files = listing.join(_analysed(listing, read, cache), ["oid", "dialect"])
     ok = keep(files.where("status = 'ok'"), "files")
     failed = [r.e for r in ok.where("error is not null").select(F.concat_ws(": ", "path", "error").alias("e")).orderBy("e").limit(20).collect()]
     if failed:
         raise ValueError("; ".join(failed))
+    ok, reached = _module_buckets(files, ok, everything)
     one = ok.select("rev", "path", "file_bucket", F.explode("functions").alias("f"))
     number = lambda k: F.xxhash64("rev", "path", k)
     fn = one.select("rev", "path", number("f.ord").alias("fn_id"), F.when(F.col("f.parent").isNotNull(), number("f.parent")).alias("parent_id"), "f.depth", "f.ord", "f.name", F.when(F.col("file_bucket") == "tests", "tests").otherwise(F.col("f.bucket")).alias("bucket"), "f.line", "f.cc", "f.sloc")
@@ -136,6 +159,8 @@ def snapshot(listing: DataFrame, read, cache: str | None = None) -> Snapshot:
     covered = keep(clones.clone_lines(pairs, lines), "covered")
     skipped = files.where("status = 'skipped'").select("rev", "path", F.lit(MAX_BYTES).cast("long").alias("max_bytes"), F.col("size").alias("asked_bytes"))
     warnings = ok.select("rev", F.explode("warnings").alias("w"), "path").select("rev", F.concat_ws(": ", "path", "w").alias("warning"))
+    if reached is not None:
+        warnings = warnings.unionByName(reached)
     paths_ = ok.select("rev", "path", F.col("file_bucket").alias("bucket"), F.col("git_lines").alias("git_line_coordinates"))
     return Snapshot(paths_, fn, tokens, lines, pairs, covered, metrics.totals(revisions, fn, lines, covered), skipped, warnings)
 
@@ -143,19 +168,20 @@ def snapshot(listing: DataFrame, read, cache: str | None = None) -> Snapshot:
 def scan_directory(spark: SparkSession, root: str) -> Snapshot:
     config = C.of_directory(root)
     listed = D.list_directory(spark, root, lambda d: (n := d.rsplit("/", 1)[-1]).startswith(".") or n in paths.SKIPPED_DIRECTORIES)
-    return snapshot(_candidates(listed, config), lambda rows: D.read_files(rows, root, MAX_BYTES))
+    return snapshot(listed, config, lambda rows: D.read_files(rows, root, MAX_BYTES))
 
 
 def scan_revisions(spark: SparkSession, repository: str, revisions: dict[str, str], cache: str | None = None) -> Snapshot:
     """revisions: label by revision; all of them in one job, each with the configuration in its tree."""
-    listing = None
+    listing, configs = None, {}
     for rev, label in revisions.items():
-        one = _candidates(G.list_tree(spark, repository, G.resolve_tree(repository, rev), label), C.of_revision(repository, rev))
+        one = G.list_tree(spark, repository, G.resolve_tree(repository, rev), label)
         listing = one if listing is None else listing.unionByName(one)
-    return snapshot(listing, lambda rows: G.read_blobs(rows, repository, MAX_BYTES), cache)
+        configs[label] = C.of_revision(repository, rev)
+    return snapshot(listing, configs, lambda rows: G.read_blobs(rows, repository, MAX_BYTES), cache)
 
 
 def scan_files(spark: SparkSession, files: DataFrame, config: C.Config | None = None) -> Snapshot:
     """files(rev, path, oid, size, content) that are in memory already."""
     content = files.select("oid", "content").dropDuplicates(["oid"])
-    return snapshot(_candidates(files.drop("content"), config or C.Config()), lambda rows: rows.join(content, "oid"))
+    return snapshot(files.drop("content"), config or C.Config(), lambda rows: rows.join(content, "oid"))
