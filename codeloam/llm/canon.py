@@ -40,7 +40,7 @@ def add_digests(rows: DataFrame, text: str, name: str) -> DataFrame:
     """rows without the column text but with its digest as name and its canonical SHA-256 as name_sha."""
     kept = [c for c in rows.columns if c != text]
     canon = rows.select(*kept, canonical(F.col(text)).alias("__canon"))
-    return canon.select(*kept, digest(F.col("__canon")).alias(name), F.sha2("__canon", 256).alias(f"{name}_sha"))
+    return canon.select(*kept, F.unhex(digest(F.col("__canon"))).alias(name), F.unhex(F.sha2("__canon", 256)).alias(f"{name}_sha"))
 
 
 def split_digests(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def split_digests(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
     The two extremes are combined before the shuffle, so a bucket of any size sends two texts a task."""
     canon = texts.select(canonical(F.col("text")).alias("canon"))
-    members = canon.select("canon", digest(F.col("canon")).alias("digest")).join(shared, "digest", "left_semi")
+    members = canon.select("canon", F.unhex(digest(F.col("canon"))).alias("digest")).join(shared, "digest", "left_semi")
     ends = members.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     return ends.where("low != high").select("digest")
 
@@ -78,14 +78,13 @@ def edited_texts(docs: DataFrame, others: DataFrame, following: DataFrame) -> Da
     way to the first as many (or all) of the next document's text, which others(doc_id, text) has.
 
     Rows that repeat a doc_id share their next document; of several rows with that id the smallest text counts."""
-    half = F.floor(F.length("text") / 2).cast("int")
-    own = docs.join(following, F.col("doc_id").eqNullSafe(F.col("this_id"))).select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), half.alias("half"), "text")
-    texts = others.select(F.col("doc_id").alias("__id"), F.col("text").alias("__next"))
+    own = docs.join(following, F.col("doc_id").eqNullSafe(F.col("this_id"))).select(F.col("doc_id").alias("own_id"), "next_id", F.length("text").cast("long").alias("n_chars"), F.expr("cast(length(text) div 2 as int)").alias("half"), F.col("text").alias("own_text"))
+    own = own.withColumn("kept", F.expr("substring(own_text, 1, length(own_text) - half)")).drop("own_text")
     if not others.groupBy("doc_id").count().where("count > 1").isEmpty():
-        texts = texts.groupBy("__id").agg(F.min("__next").alias("__next"))
-    own = own.withColumn("kept", F.expr("substring(text, 1, length(text) - half)"))
-    joined = own.select("doc_id", "next_id", "n_chars", "half", "kept", *[c for c in own.columns if c.startswith("own")]).join(texts, F.col("next_id").eqNullSafe(F.col("__id")))
-    return joined.select("doc_id", "next_id", "n_chars", *[c for c in own.columns if c.startswith("own")], F.expr("concat(kept, substring(__next, 1, half))").alias("edited"))
+        others = others.groupBy("doc_id").agg(F.min("text").alias("text"))
+    # docs and others are left as they are up to their shuffle: where they are one table, it is shuffled once
+    joined = own.join(others.alias("o"), F.col("next_id").eqNullSafe(F.col("o.doc_id")))
+    return joined.select(F.col("own_id").alias("doc_id"), "next_id", "n_chars", F.expr("concat(kept, substring(o.text, 1, half))").alias("edited"))
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     own = materialise(add_digests(docs.withColumn("n_chars", F.length("text").cast("long")), "text", "own"), "canon-own")
     following = materialise(next_ids(own), "canon-next")
     edits = edited_texts(docs, docs, following)
-    edits = edits.withColumn("edited_sha256", F.sha2("edited", 256))
+    edits = edits.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
     changed = materialise(add_digests(edits, "edited", "changed"), "canon-edited")
     seen = own.select(F.col("own").alias("digest")).unionByName(changed.select(F.col("changed").alias("digest")))
     shared = materialise(seen.groupBy("digest").count().where("count > 1").select("digest"), "canon-shared")
@@ -119,7 +118,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     def settled(rows: DataFrame, name: str, as_: str) -> DataFrame:
         joined = rows.join(F.broadcast(split) if fits(split, 128) else split, rows[name] == split["digest"], "left")
-        return joined.withColumn(as_, F.when(F.col("digest").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, f"{name}_sha"))).drop("digest", name, f"{name}_sha")
+        return joined.withColumn(as_, F.when(F.col("digest").isNull(), F.col(name)).otherwise(F.concat(name, f"{name}_sha"))).drop("digest", name, f"{name}_sha")
 
     first = settled(own, "own", "fingerprint")
     second = settled(changed, "changed", "edited_fingerprint")
@@ -139,4 +138,5 @@ def _paired(own: DataFrame, changed: DataFrame) -> DataFrame:
     ahead = own.groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("doc_id", "__next")
     pairs = pairs.join(ahead, F.col("next_id").eqNullSafe(F.col("__next")))
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return pairs.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
