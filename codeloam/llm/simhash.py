@@ -28,6 +28,8 @@ from .common import components, materialise, numbered, without
 SAMPLE = 1 << 18
 #: Homes that a shard should have, and comparisons that a task makes without another vantage point.
 SHARD_HOMES, DIRECT = 4096, 1 << 20
+#: Points of a shard from which dense balls are taken out first.
+PEEL_FROM = 1024
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK_BYTES = 1 << 22
@@ -62,15 +64,18 @@ def _spans(data: bytes, k: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
         carry = words[len(words) - k + 1 :] if k > 1 else []
 
 
-def fingerprint(data: bytes, k: int = 3, lanes: int = 1) -> bytes:
+def fingerprint(data: bytes, k: int = 3, lanes: int = 1, distinct: bool = False) -> bytes:
     """64 * lanes bits, most significant first: a bit is 1 if it is set in over half the shingles' hashes.
 
-    The first lane takes XXH64 with seed 42 as it is; the others mix that hash further."""
+    The first lane takes XXH64 with seed 42 as it is; the others mix that hash further. distinct: a shingle
+    counts once, as in the Jaccard similarity of sets; else as often as it occurs."""
     total, n = np.zeros(64 * lanes, np.int64), 0
     digest = xxhash.xxh64_digest
-    for joined, starts, ends in _spans(data, k):
-        raw = np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends)]), np.uint8)
-        n += len(starts)
+    parts = (np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends)]), np.uint8) for joined, starts, ends in _spans(data, k))
+    if distinct and (all_ := list(parts)):
+        parts = [np.unique(np.concatenate(all_).view(">u8")).view(np.uint8)]
+    for raw in parts:
+        n += len(raw) // 8
         for at in range(0, len(raw), 8 << 15):
             part = raw[at : at + (8 << 15)]
             for lane in range(lanes):
@@ -86,7 +91,7 @@ def _mixed(raw: np.ndarray, lane: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).astype(">u8").view(np.uint8)
 
 
-def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """row_key, doc_id, fp of each whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +99,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
             out = []
             for value in batch.column(2):
                 raw = value.as_buffer()
-                out.append(fingerprint(raw.to_pybytes() if raw is not None else b"", k, lanes))
+                out.append(fingerprint(raw.to_pybytes() if raw is not None else b"", k, lanes, distinct))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_key", "doc_id", "fp"])
 
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
@@ -180,10 +185,46 @@ class _Union:
                 root[:] = root[root]
 
 
+def _distances(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for lane in range(fp.shape[1]):
+        d += np.bitwise_count(fp[a, lane][:, None] ^ fp[b, lane][None, :])
+    return d
+
+
+def _peel(fp: np.ndarray, points: np.ndarray, bits: int, union: _Union) -> np.ndarray:
+    """Take dense balls out of points: what lies within `bits` of a pivot is one group, what lies beyond twice
+    that can't touch the group, and each point between needs a single link to it. Returns the rest."""
+    while len(points) > PEEL_FROM:
+        for k in np.linspace(0, len(points) - 1, 8).astype(int):
+            d = _distances(fp, points[k : k + 1], points)[0]
+            near = d <= bits
+            if near.sum() >= max(PEEL_FROM // 8, len(points) // 16):
+                break
+        else:
+            return points
+        ball, shell = points[near], points[~near & (d <= 2 * bits)]
+        union.join(ball, np.full(len(ball), points[k]))
+        for at in range(0, len(ball), 256):
+            some, left = ball[at : at + 256], []
+            for to in range(0, len(shell), 4096):
+                part = shell[to : to + 4096]
+                hit = _distances(fp, part, some) <= bits
+                linked = hit.any(1)
+                union.join(part[linked], some[hit[linked].argmax(1)])
+                left.append(part[~linked])
+            shell = np.concatenate(left) if left else shell
+            if not len(shell):
+                break
+        points = points[~near]
+    return points
+
+
 def link_shard(fp: np.ndarray, home: np.ndarray, block: np.ndarray, bits: int, slack: int) -> np.ndarray:
     """Root of each fingerprint of a shard under all links between a home and a visitor."""
     union = _Union(len(fp))
-    todo = [(np.flatnonzero(home), np.arange(len(fp)))]
+    rest = _peel(fp, np.arange(len(fp)), bits, union)
+    todo = [(rest[home[rest]], rest)]
     while todo:
         own, all_ = todo.pop()
         if not len(own) or not len(all_):
@@ -198,10 +239,7 @@ def link_shard(fp: np.ndarray, home: np.ndarray, block: np.ndarray, bits: int, s
         step = max(1, DIRECT // len(all_))
         for at in range(0, len(own), step):
             some = own[at : at + step]
-            d = np.zeros((len(some), len(all_)), np.uint16)
-            for lane in range(fp.shape[1]):
-                d += np.bitwise_count(fp[some, lane][:, None] ^ fp[all_, lane][None, :])
-            i, j = np.nonzero(d <= bits)
+            i, j = np.nonzero(_distances(fp, some, all_) <= bits)
             a, b = some[i], all_[j]
             union.join(a[a != b], b[a != b])
     return union.root
@@ -279,9 +317,9 @@ def simhash_components(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
     return near_groups(fps, bits, blocks=2).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: A similarity of 0.8 on shingles of five words turns 0.15 of the bits: 39 of 256. With their spread of
-#: 5.7, 44 bits keep most pairs at 0.8 and all above; texts that aren't copies lie near 128.
-WIDE_LANES, WIDE_BLOCKS, WIDE_BITS, WIDE_WORDS = 4, 20, 44, 5
+#: A similarity of 0.8 on sets of five-word shingles turns 0.15 of the bits, 58 of 384, with a spread of
+#: 7: nearly all such pairs have 74 bits or fewer. Texts that aren't copies lie near 192, seldom below 160.
+WIDE_LANES, WIDE_BLOCKS, WIDE_BITS, WIDE_WORDS = 6, 30, 74, 5
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -289,7 +327,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Wide fingerprints of five-word shingles link at a similarity of about 0.8. All columns stay."""
     rows = numbered(docs, "near-rows")
-    fps = materialise(fingerprints(rows.select(F.col("__row").alias("row_key"), "doc_id", "text"), WIDE_WORDS, WIDE_LANES), "near-fps")
+    fps = materialise(fingerprints(rows.select(F.col("__row").alias("row_key"), "doc_id", "text"), WIDE_WORDS, WIDE_LANES, distinct=True), "near-fps")
     marks = near_groups(fps, WIDE_BITS, WIDE_BLOCKS, WIDE_LANES, slack=0)
     gone = materialise(marks.where("row_key != keep_key").select(F.col("row_key").alias("__row")), "near-gone")
     return without(rows, gone).drop("__row")

@@ -66,6 +66,7 @@ def brute_components(rows, bits=3):
 @pytest.mark.parametrize("homes", [4096, 4])
 def test_simhash_equals_brute_force(spark, monkeypatch, homes):
     monkeypatch.setattr(simhash, "SHARD_HOMES", homes)
+    monkeypatch.setattr(simhash, "PEEL_FROM", 8)
     monkeypatch.setattr(simhash, "DIRECT", 64)
     rows = corpus() + [(7, "repeated id"), (7, "repeated id")]
     got = simhash.simhash_components(frame(spark, rows)).collect()
@@ -94,6 +95,25 @@ def test_simhash_links_on_random_fingerprints():
     assert (total == want).all()
 
 
+@pytest.mark.parametrize("peel", [8, 10**6])
+def test_dense_balls_lose_no_group(monkeypatch, peel):
+    monkeypatch.setattr(simhash, "PEEL_FROM", peel)
+    monkeypatch.setattr(simhash, "DIRECT", 512)
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    flips = [int(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False))) for _ in range(400)]
+    fp = np.unique(np.array([int(centres[i % 4]) ^ f for i, f in enumerate(flips)], np.uint64))
+    root = np.arange(len(fp))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    for _ in range(len(fp)):
+        new = np.where(near, root[None, :], len(fp)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    got = simhash.link_shard(fp[:, None], np.ones(len(fp), bool), fp, 3, 3)
+    assert (got == root).all()
+
+
 def test_a_fingerprint_is_the_same_in_any_block_size(monkeypatch):
     text = (" ".join(f"W{i % 37}x" for i in range(500)) + "\n\t end").encode()
     whole = simhash.fingerprint(text, 3), simhash.fingerprint(text, 5, 4)
