@@ -257,6 +257,19 @@ def test_scan_diff_and_trend_end_to_end(spark, tmp_path):
     assert shots[0] == shots[1] and os.path.isdir(cached)
 
 
+def test_a_stream_of_files_fills_the_cache(spark, tmp_path):
+    from codeloam.streaming.incremental import analyse_stream
+
+    shape = "rev string, path string, oid string, size long, content binary"
+    rows = [("r", "a.go", "1", len(GO), GO.encode()), ("s", "b.go", "1", len(GO), GO.encode()), ("r", "x.txt", "2", 1, b"x"), ("r", "t.py", "3", 9, b"def f(): 1")]
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/in")
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        analyse_stream(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), cache, f"{tmp_path}/state").awaitTermination()
+    kept = spark.read.schema(scan.ANALYSIS).parquet(f"{cache}/version={scan.VERSION}").collect()
+    assert sorted((r.oid, r.functions[0].name) for r in kept) == [("1", "first"), ("3", "f")]
+
+
 def test_patch_parser_counts_content_lines():
     patch = b'diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1 @@\n--- a/fake\n-b\n+@@ -9 +9 @@\n@@ -5,0 +5,2 @@\n+c\n+d\ndiff --git "a/q\\n" "b/q\\n"\n--- "a/q\\n"\n+++ /dev/null\n@@ -3 +2,0 @@\n-x\n'
     assert G.parse_patch(patch) == [("x", 1, 2, 1, 1), ("x", 5, 0, 5, 2), ("q\n", 3, 1, 2, 0)]
