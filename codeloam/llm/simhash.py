@@ -254,7 +254,11 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1, slack: int |
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_HOMES)))))
     wanted = min(SAMPLE, 32 << depth)
-    sample = [bytes(r.fp) for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()] if depth else []
+    # about twice as many as are wanted leave the tasks, however many tasks there are
+    top = min(1.0, (2 * wanted + 1000) / max(1, n))
+    drawn = nodes.select("fp", F.xxhash64("fp").alias("h"))
+    drawn = drawn if top == 1.0 else drawn.where(F.col("h") < F.lit(int(top * (1 << 64)) - (1 << 63)))
+    sample = [bytes(r.fp) for r in drawn.orderBy("h", "fp").limit(wanted).collect()] if depth else []
     drawn = np.frombuffer(b"".join(sample), ">u8").astype(np.uint64).reshape(-1, lanes)
     trees = [fit_tree(_block(drawn, b, blocks), depth) if depth else [] for b in range(blocks)]
     slack = bits // blocks if slack is None else slack
