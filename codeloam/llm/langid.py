@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .bpe import _LETTER, _classes
 
 #: Feature buckets; labelled documents and words of each that a model may be fitted on.
-BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS = 1 << 17, 2400, 4000
+BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS = 1 << 17, 1600, 4000
 #: Length of the spliced training sequences, how many make a step, and steps.
 LENGTH, BATCH, STEPS = 24, 256, 260
 #: Words that are scored side by side, and the length of a block of the scans.
@@ -130,18 +130,24 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
         return None
     k = len(languages)
     model = Model(languages, np.zeros((BUCKETS, k), np.float32), np.eye(k, dtype=np.float32), np.zeros(k, np.float32))
-    words, counts = words_of(texts)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
     language = {name: i for i, name in enumerate(languages)}
-    usable = [(int(a), int(min(b, a + SAMPLE_WORDS)), language[name]) for a, b, name in zip(bounds, bounds[1:], labels) if b > a]
+    held, usable, total = [], [], 0
+    for at in range(0, len(texts), 50):  # a few texts at once: the driver is small
+        words, counts = words_of(texts[at : at + 50])
+        start = 0
+        for n, name in zip(counts.tolist(), labels[at : at + 50]):
+            kept = min(n, SAMPLE_WORDS)
+            if kept:
+                held.append(words.slice(start, kept))
+                usable.append((total, total + kept, language[name]))
+                total += kept
+            start += n
+        held = [pa.concat_arrays(held)] if held else []
     if not usable or k == 1:
         return model
+    coded = held.pop().dictionary_encode()
+    ids, vocabulary = coded.indices.to_numpy(), coded.dictionary
     spoken = [[u for u in usable if u[2] == i] for i in range(k)]
-    coded = words.dictionary_encode()
-    ids = coded.indices.to_numpy()
-    bucket, per = features(coded.dictionary)
-    first = np.concatenate([[0], np.cumsum(per)])
-    scale = 1 / np.sqrt(np.maximum(per, 1)).astype(np.float32)
     rng = np.random.default_rng(seed)
     squares = np.full((BUCKETS, k), 1e-6, np.float32)
     t_squares = np.full((k, k), 1e-6, np.float32)
@@ -159,15 +165,14 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
                     truth[r, a:b] = lang
         unique, place = np.unique(token, return_inverse=True)
         place = place.reshape(token.shape)
-        spans = per[unique]
-        slots = np.repeat(first[unique] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-        rows, edge = bucket[slots], np.concatenate([[0], np.cumsum(spans)[:-1]])
-        scores = np.add.reduceat(model.weights[rows], edge, axis=0) * scale[unique][:, None]
+        rows, spans = features(pa.concat_arrays([vocabulary.take(pa.array(unique))]))
+        edge, scale = np.concatenate([[0], np.cumsum(spans)[:-1]]), 1 / np.sqrt(spans).astype(np.float32)
+        scores = np.add.reduceat(model.weights[rows], edge, axis=0) * scale[:, None]
         marginal, pairs = _posterior(scores[place], model.transitions, model.initial)
         target = np.eye(k, dtype=np.float32)[truth]
         delta = np.zeros((len(unique), k), np.float32)
         np.add.at(delta, place.ravel(), (target - marginal).reshape(-1, k))
-        grad = np.repeat(delta * scale[unique][:, None], spans, axis=0)
+        grad = np.repeat(delta * scale[:, None], spans, axis=0)
         touched, at = np.unique(rows, return_inverse=True)
         total = np.zeros((len(touched), k), np.float32)
         np.add.at(total, at, grad)
@@ -272,13 +277,21 @@ def label(texts: list[str], model: Model) -> list[tuple[str, float]]:
 def train(docs: DataFrame) -> Model | None:
     """Fit on at most SAMPLE_DOCS labelled documents, the first by the hash of their ids, in equal parts of
     each language; of each at most SAMPLE_WORDS words are drawn from. None without a label."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    found = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(200).collect()]
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # one row a language; a corpus has a bounded number of them
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(200).collect()}
     texts, labels = [], []
-    for name in found:
-        for r in rows.where(F.col("lang") == name).orderBy("h", "text").limit(max(1, SAMPLE_DOCS // len(found))).collect():
-            texts.append(r.text)
-            labels.append(r.lang)
+    for name, n in counts.items():
+        wanted = max(1, SAMPLE_DOCS // len(counts))
+        own = rows.where(F.col("lang") == name)
+        # about twice as many as are wanted leave the tasks, however many tasks there are
+        top = min(1.0, (2 * wanted + 50) / n)
+        some = own if top == 1.0 else own.where(F.col("h") < F.lit(int(top * (1 << 64)) - (1 << 63)))
+        found = some.orderBy("h", "text").limit(wanted).collect()
+        if len(found) < min(wanted, n):
+            found = own.orderBy("h", "text").limit(wanted).collect()
+        texts += [r.text for r in found]
+        labels += [name] * len(found)
     return fit(texts, labels)
 
 
