@@ -131,6 +131,41 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.missed(0.85, simhash.WIDE_BLOCKS, simhash.WIDE_LANES) < 0.02
 
 
+def varied(seed, lengths, counts):
+    """Texts, each with copies in which that many words are changed, some with a passage or line in common."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = " ".join(word() for _ in range(60)), []
+    for n in lengths:
+        base = [word() for _ in range(n)]
+        for changes in counts:
+            own = list(base)
+            for at in rng.sample(range(n), min(changes, n)):
+                own[at] = word()
+            texts.append(" ".join(own) + (" " + passage if rng.random() < 0.3 else ""))
+    return texts
+
+
+def jaccards(texts):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+
+
+def test_near_copies_are_judged_by_their_exact_similarity(spark):
+    pairs = [[t[0], t[1]] for seed in range(40) for t in [varied(seed, [200], [0, 6 + seed % 7])]]
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    values = [jaccards(p)[1, 0] for p in pairs]
+    assert sum(0.6 <= v < 0.8 for v in values) > 10
+    left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    for i, v in enumerate(values):
+        assert (2 * i + 1 in left) == (v < 0.8), v
+
+
 def test_exact_duplicates(spark):
     rows = corpus() + [(100, corpus()[0][1]), (100, corpus()[0][1]), (None, corpus()[0][1])]
     docs = frame(spark, rows)
