@@ -245,11 +245,8 @@ def link_shard(fp: np.ndarray, home: np.ndarray, block: np.ndarray, bits: int, s
     return union.root
 
 
-def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1, slack: int | None = None) -> DataFrame:
-    """Edges a, b between nodes(node, fp) that connect exactly the fingerprints within `bits` bits.
-
-    slack: the bits that a block may differ in; if less than bits // blocks, pairs near the limit can be
-    missed, with the probability that missed() gives."""
+def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1) -> DataFrame:
+    """Edges a, b between nodes(node, fp) that connect exactly the fingerprints within `bits` bits."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_HOMES)))))
@@ -261,7 +258,7 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1, slack: int |
     sample = [bytes(r.fp) for r in drawn.orderBy("h", "fp").limit(wanted).collect()] if depth else []
     drawn = np.frombuffer(b"".join(sample), ">u8").astype(np.uint64).reshape(-1, lanes)
     trees = [fit_tree(_block(drawn, b, blocks), depth) if depth else [] for b in range(blocks)]
-    slack = bits // blocks if slack is None else slack
+    slack = bits // blocks  # the bits that a block may differ in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +287,7 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1, slack: int |
 
 
 def missed(similarity: float, blocks: int, lanes: int) -> float:
-    """The probability that a pair of this Jaccard similarity agrees in no block (slack 0)."""
+    """The probability that a pair of this Jaccard similarity agrees in no block."""
     angle = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
     return (1 - (1 - angle) ** (64 * lanes // blocks)) ** blocks
 

@@ -166,6 +166,21 @@ def test_near_copies_are_judged_by_their_exact_similarity(spark):
         assert (2 * i + 1 in left) == (v < 0.8), v
 
 
+def test_no_near_copy_is_missed_at_any_length(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 50)
+    texts = varied(3, [3, 8, 12, 14, 20, 26, 30, 40, 60, 90, 300] * 3, [0, 1, 1, 2, 3, 4, 5])
+    texts += [" ".join(f"c{i}" for i in range(at, at + 60)) for at in range(0, 60, 3)]  # a chain, each like the next only
+    texts += [" ".join(f"s{i}" for i in range(8)) + end for end in ("", " s8")]  # 4 of 5 shingles in common
+    root = list(range(len(texts)))
+    for (i, j), value in sorted(jaccards(texts).items()):
+        if value >= 0.8:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    rows = list(enumerate(texts))
+    random.Random(4).shuffle(rows)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(root)
+
+
 def test_exact_duplicates(spark):
     rows = corpus() + [(100, corpus()[0][1]), (100, corpus()[0][1]), (None, corpus()[0][1])]
     docs = frame(spark, rows)
