@@ -3,7 +3,7 @@
 Validated values are found by one pattern and replaced by a keyed permutation of their own format: a
 balanced Feistel network over their characters, whose round function is SHA-256 of key, round and the
 other half. Digits stay digits, letters stay letters of the same case, separators stay where they are;
-card numbers keep a right (or wrong) check digit, addresses keep octets up to 255, dates stay dates.
+card numbers are those with a right check digit and keep one, addresses keep octets up to 255, dates stay dates.
 Equal values get equal pseudonyms in every document, whatever their separators or case.
 """
 
@@ -15,15 +15,27 @@ from pyspark.sql import functions as F
 #: Feistel rounds; an even number, so both halves return to their places.
 ROUNDS = 10
 
+#: Phones: with a bracketed area code; 3-3-4 digits, with or without a country code; a plus and 8 to 15 digits,
+#: parted or not; a trunk zero, area code and number; a trunk zero and pairs.
+_PHONES = (
+    r"\+?[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"(?<![0-9][.-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?!-[0-9])",
+    r"\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}",
+    r"(?<![0-9][.-])0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}(?![.-][0-9])",
+    r"(?<![0-9][.-])0[1-9](?:[ .-][0-9]{2}){4}(?![.-][0-9])",
+)
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^[+](?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 #: The patterns of each kind, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\+?[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z+])(?:{'|'.join(_PHONES)})(?![0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
     "address": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z])",
+    "identity": r"(?<![0-9A-Za-z-])(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -67,10 +79,25 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (t, j) -> t + if(j % 2 = 0, if({d} > 4, 2 * {d} - 9, 2 * {d}), {d}))"
 
 
-def _card(key: str) -> str:
-    digits = "regexp_replace(v, '[^0-9]', '')"
+def _valid(v: str) -> str:
+    """Whether the Luhn sum of all digits of v, check digit included, holds."""
+    return f"transform(array(regexp_replace({v}, '[^0-9]', '')), d -> pmod({_luhn('substr(d, 1, length(d) - 1)')} + cast(substr(d, -1) as int), 10) = 0)[0]"
+
+
+def _head(v: str) -> str:
+    """The first four groups of a card number that three more digits follow."""
+    return f"substr({v}, 1, 19)"
+
+
+def _cards(key: str) -> str:
+    """If just the first four groups are a valid number, the digits after them aren't part of it and stay."""
+    return f"transform(array(if({_valid('v')}, v, {_head('v')})), w -> concat({_card(key, 'w')}, substr(v, length(w) + 1)))[0]"
+
+
+def _card(key: str, v: str) -> str:
+    digits = f"regexp_replace({v}, '[^0-9]', '')"
     inner = f"transform(array({digits}), d -> transform(array(named_struct('p', {_feistel('substr(d, 1, length(d) - 1)', key)}, 'old', pmod(10 - pmod({_luhn('substr(d, 1, length(d) - 1)')}, 10), 10), 'last', cast(substr(d, -1) as int))), e -> concat(e.p, cast(pmod(pmod(10 - pmod({_luhn('e.p')}, 10), 10) + e.last - e.old, 10) as string)))[0])[0]"
-    return f"transform(array({inner}), core -> {_put_back('v', 'core', '[0-9]')})[0]"
+    return f"transform(array({inner}), core -> {_put_back(v, 'core', '[0-9]')})[0]"
 
 
 def _plain(key: str, kept: str) -> str:
@@ -78,9 +105,14 @@ def _plain(key: str, kept: str) -> str:
 
 
 def _phone(key: str) -> str:
-    """The country code stays."""
-    rest = "regexp_replace(substr(v, instr(v, '(')), '[^0-9]', '')"
-    return f"transform(array({_feistel(rest, key)}), core -> concat(substr(v, 1, instr(v, '(') - 1), {_put_back("substr(v, instr(v, '('))", 'core', '[0-9]')}))[0]"
+    """The country code stays: what stands before a bracket, else what a plus leads, else what precedes ten digits."""
+    ahead = (
+        "case when instr(v, '(') > 0 then substr(v, 1, instr(v, '(') - 1) "
+        f"when v like '+%' then regexp_extract(v, {_sql(_COUNTRY)}, 0) when v like '0%' then '' "
+        "else regexp_extract(v, '^(.*?)[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}$', 1) end"
+    )
+    rest = "substr(v, length(h) + 1)"
+    return f"transform(array({ahead}), h -> transform(array({_feistel(f"regexp_replace({rest}, '[^0-9]', '')", key)}), core -> concat(h, {_put_back(rest, 'core', '[0-9]')}))[0])[0]"
 
 
 def _email(key: str) -> str:
@@ -119,13 +151,15 @@ def pseudonym(key: str) -> str:
         "case k "
         f"when 'email' then {_email(key)} when 'secret' then {_hex(key)} when 'phone' then {_phone(key)} "
         f"when 'date' then {_date(key)} when 'address' then {_address(key)} when 'identity' then {_plain(key, '[0-9]')} "
-        f"else {_card(key)} end"
+        f"when 'card' then {_cards(key)} else v end"
     )
 
 
 def _kind(v: str) -> str:
-    """The kind of a value that ANY has found; the first pattern in order that takes all of it."""
-    return "case " + " ".join(f"when {v} rlike {_sql(f'^(?:{p})$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'card' end"
+    """The kind of a value that ANY has found; the first pattern in order that takes all of it. A number without a
+    right check digit is no card: its kind is null."""
+    card = f"case when {_valid(v)} or (length({v}) = 23 and {_valid(_head(v))}) then 'card' end"
+    return "case " + " ".join(f"when {v} rlike {_sql(f'^(?:{p})$')} then '{k}'" for k, p in PATTERNS.items() if k != "card") + f" else {card} end"
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", pii: str = "pii") -> DataFrame:
@@ -139,9 +173,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", pii: str = "pii"
     found = found.withColumn(pii, F.expr(f"if({pii} is null or size({pii}) = 0, cast(array() as array<struct<kind:string,value:string>>), {kinds})"))
     masks = f"transform({pii}, z -> named_struct('kind', z.kind, 'value', z.value, 'pseudonym', transform(array(z.kind), k -> transform(array(z.value), v -> {pseudonym(key)})[0])[0]))"
     found = found.withColumn(pii, F.expr(masks))
+    # values of no kind stay as they are, and leave the report once the text is joined
     whole = found.withColumn("__parts", F.when(F.size(pii) > 0, F.split(F.col(text), ANY, -1)))
     joined = F.expr(f"concat(__parts[0], array_join(transform({pii}, (z, i) -> concat(z.pseudonym, __parts[i + 1])), ''))")
-    return whole.withColumn(text, F.when(F.size(pii) > 0, joined).otherwise(F.col(text))).drop("__parts")
+    return whole.withColumn(text, F.when(F.size(pii) > 0, joined).otherwise(F.col(text))).drop("__parts").withColumn(pii, F.expr(f"filter({pii}, z -> z.kind is not null)"))
 
 
 def pseudonym_report(docs: DataFrame, key: str) -> DataFrame:

@@ -296,6 +296,28 @@ def test_pseudonyms_keep_their_format(spark):
     assert "v4.0. 3.14" in new and " 1.2.3 99 SRC_0" in new
 
 
+FOUND = {
+    "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "+1-555-123-4567", "+15551234567", "1-555-123-4567", "+44 20 7946 0958", "+49 (0)30 123456", "020 7946 0958", "01 23 45 67 89", "+9 (136) 555-7479"],
+    "email": ["...jane@example.com", "_jane@example.com_", "-jane@example.com", "+jane@example.com", "j.d+x@example.com"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005", "4111-1111-1111-1111", "4111 1111 1111 1111 123", "3056 930902 5904", "6205 5000 0000 0000 004"],
+}
+KEPT = ["4111 1111 1111 1112", "1234567890123456", "000-12-3456", "078-00-1120", "1234-555-123-4567", "+1234567", "1.555.123.45678"]
+
+
+def test_personal_values_in_common_shapes(spark):
+    values = [(k, v) for k, vs in FOUND.items() for v in vs] + [(None, v) for v in KEPT]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(i, f"call {v}, or") for i, (_, v) in enumerate(values)]), "key").collect()}
+    for i, (kind, v) in enumerate(values):
+        new = got[i].text[5:-4]
+        assert [p.kind for p in got[i].pii] == ([kind] if kind else []), v
+        assert (new != v) == bool(kind) and re.sub("[0-9]", "9", re.sub("[a-z]", "a", new)) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", v)), v
+    at = {v: got[i].text[5:-4] for i, (_, v) in enumerate(values)}
+    digits = lambda v: re.sub("[^0-9]", "", at[v])[-10:]
+    assert len({digits(v) for v in FOUND["phone"][:6]}) == 1 and at["+44 20 7946 0958"].startswith("+44 ")
+    assert luhn(at["3782 822463 10005"]) and at["3782 822463 10005"].replace(" ", "") == at["378282246310005"]
+    assert at["4111 1111 1111 1111 123"].replace(" ", "-") == at["4111-1111-1111-1111"] + "-123" and luhn(at["6205 5000 0000 0000 004"])
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.range(2000).selectExpr("id as doc_id", "date_format(date_add(date'1990-01-01', cast(id as int)), 'yyyy-MM-dd') as text")
     assert pii.pseudonymise(days, "k").select("text").distinct().count() == 2000
