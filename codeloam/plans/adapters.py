@@ -32,7 +32,8 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def path_of(key: str = "doc_id"):
-    return F.concat(F.lit("d"), F.lpad(F.col(key).cast("string"), 8, "0")).alias("path")
+    """d and the id, filled up to eight digits; longer ids are kept whole."""
+    return F.expr(f"concat('d', lpad(cast({key} as string), greatest(8, length(cast({key} as string))), '0'))").alias("path")
 
 
 def source_lines(docs: DataFrame) -> DataFrame:
@@ -52,7 +53,18 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 4 == 0, "tests").otherwise("source").alias("bucket"),
     )
     rows = rows.withColumn("mass", mass(F.col("cc"), F.col("sloc")))
-    return rows.withColumn("fn_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("ord", F.col("turn").cast("int")).withColumn("parent_id", F.lit(None).cast("long")).withColumn("depth", F.lit(0))
+    rows = rows.withColumn("fn_id", fn_id(0)).withColumn("ord", F.col("turn").cast("int"))
+    return rows.withColumn("parent_id", F.when(F.lit(False), F.col("fn_id"))).withColumn("depth", F.lit(0))
+
+
+def fn_id(added: int):
+    """Key of a function: its conversation and turn, and 900 for one that the edit adds."""
+    return F.struct("conv_id", "turn", F.lit(added).alias("added"))
+
+
+def fn_number(key: str):
+    """A key as the number that the SQL gives; with 900 turns or more, several keys have the same."""
+    return (F.col(f"{key}.conv_id") * 1000 + F.col(f"{key}.turn") + F.col(f"{key}.added")).alias(key)
 
 
 def functions_head(base: DataFrame) -> DataFrame:
@@ -61,7 +73,7 @@ def functions_head(base: DataFrame) -> DataFrame:
 
     kept = base.where(f"not ({EDIT_DROP})")
     edited = kept.withColumn("cc", F.expr(f"if({EDIT_GROW}, cc + 11, cc)")).withColumn("bucket", F.expr(f"if({EDIT_FLIP}, if(bucket = 'tests', 'source', 'tests'), bucket)"))
-    extra = base.where(EDIT_ADD).withColumn("fn_id", F.col("fn_id") + 900).withColumn("line", F.lit(90)).withColumn("ord", F.lit(90)).withColumn("cc", F.lit(12))
+    extra = base.where(EDIT_ADD).withColumn("fn_id", fn_id(900)).withColumn("line", F.lit(90)).withColumn("ord", F.lit(90)).withColumn("cc", F.lit(12))
     return edited.unionByName(extra).withColumn("mass", mass(F.col("cc"), F.col("sloc")))
 
 

@@ -224,7 +224,7 @@ def clone_share(spark, sf_dir):
 def benchmark_overlap_pairs(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.lit("r").alias("lang"), "doc_id", "text")
     items = A.table(spark, sf_dir, "benchmark").select(F.lit("r").alias("lang"), F.col("item_id").alias("doc_id"), "text")
-    grams = lambda rows, name: clones.windows(A.tokens(rows), 13).select(F.substring("path", 2, 8).cast("long").alias(name), "gram_a", "gram_b").distinct()
+    grams = lambda rows, name: clones.windows(A.tokens(rows), 13).select(F.expr("substr(path, 2)").cast("long").alias(name), "gram_a", "gram_b").distinct()
     return grams(docs, "doc_id").join(grams(items, "item_id"), ["gram_a", "gram_b"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -273,7 +273,7 @@ def _matches(spark, sf_dir, phase: int) -> DataFrame:
     base, head, touched, mapped = _fn_inputs(spark, sf_dir)
     before = diff.signatures(base.join(touched, "path", "left_semi"), 0).join(mapped, ["path", "line"], "left")
     after = diff.signatures(head.join(touched, "path", "left_semi"), 0)
-    return diff.match_functions(before, after, ["path", "name"]).where(F.col("phase") == phase).select("before_id", "after_id")
+    return diff.match_functions(before, after, ["path", "name"]).where(F.col("phase") == phase).select(A.fn_number("before_id"), A.fn_number("after_id"))
 
 
 def _deltas(spark, sf_dir) -> DataFrame:
@@ -344,7 +344,7 @@ _BAG = f"""{_PAIRS}, ids AS (SELECT f.*, sha256(a_path || ' ' || b_path || ' ' |
  o AS (SELECT '-' AS change, a_path, a_start, b_path, b_start, da, db FROM r1 ANTI JOIN r2 USING (id, r) UNION ALL SELECT '+', a_path, a_start, b_path, b_start, da, db FROM r2 ANTI JOIN r1 USING (id, r))
  SELECT change, a_path, a_start, b_path, b_start FROM o WHERE da % 2 = 0 OR db % 2 = 0""")
 def clone_bag_diff(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).withColumn("da", F.substring("a_path", 2, 8).cast("long")).withColumn("db", F.substring("b_path", 2, 8).cast("long"))
+    pairs = _pairs(spark, sf_dir).withColumn("da", F.expr("substr(a_path, 2)").cast("long")).withColumn("db", F.expr("substr(b_path, 2)").cast("long"))
     shift = lambda rows, side: rows.withColumn(f"{side}_start", F.expr(f"{side}_start + if(d{side} % 5 = 0, 3, 0)")).withColumn(f"{side}_end", F.expr(f"{side}_end + if(d{side} % 5 = 0, 3, 0)"))
     base = pairs.where("da % 9 != 0 and db % 9 != 0")
     head = shift(shift(pairs.where("da % 7 != 0 and db % 7 != 0"), "a"), "b")

@@ -308,3 +308,20 @@ def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(names)
     assert Counter(tuple(plain(v) for v in row) for row in got.select(*names).collect()) == want
+
+
+def test_wide_ids_stay_apart(spark, tmp_path):
+    from codeloam.plans import adapters
+    from codeloam.plans.queries import QUERIES
+
+    turns = [(conv, turn, "user", f"text {conv % 10}, {turn}") for conv in (6, 7, 8) for turn in range(1101)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    base = adapters.functions(spark, str(tmp_path))
+    head = adapters.functions_head(base)
+    assert base.select("fn_id").distinct().count() == base.count() == len(turns)
+    assert head.select("fn_id").distinct().count() == head.count()
+    found = [QUERIES[f"fn_match_phase{k}"](spark, str(tmp_path)).collect() for k in (1, 2, 3)]
+    assert sum(r.before_id is not None for rows in found for r in rows) == base.where("conv_id % 3 != 0").count()
+    assert sum(r.after_id is not None for rows in found for r in rows) == head.where("conv_id % 3 != 0").count()
+    ids = spark.createDataFrame([(i,) for i in (7, 12345678, 123456780, 123456789)], "doc_id long")
+    assert [r.path for r in ids.orderBy("doc_id").select(adapters.path_of()).collect()] == ["d00000007", "d12345678", "d123456780", "d123456789"]
