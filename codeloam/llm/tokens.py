@@ -57,8 +57,8 @@ class TokenLedger:
     A batch is a set of signed rows: +1 for an insert, -1 for a delete, both for a revised count. It
     becomes one additive row for each key and is committed by renaming its finished folder to
     batch=<id>; a batch that is already there changes nothing, so a retry after a lost driver or
-    executor is safe. Totals are sums over batches; compact() folds batches into one while their ids
-    stay known. Keys may be null; a key whose three totals are all zero is not reported."""
+    executor is safe. Totals are sums over all batches, which aren't folded: each one's
+    rows are read every time. Keys may be null; a key whose three totals are all zero is not reported."""
 
     KEYS = ("source", "lang", "tokenizer")
     SUMS = ("n_docs", "n_tokens", "n_chars")
