@@ -50,12 +50,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """df as a table with a unique, fixed number for each row in __row."""
-    return materialise(df.withColumn("__row", F.monotonically_increasing_id()), label)
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it, so that no column of df is called that."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
-def without(df: DataFrame, gone: DataFrame, key: str = "__row") -> DataFrame:
+def numbered(df: DataFrame, label: str, key: str) -> DataFrame:
+    """df as a table with a unique, fixed number for each row in the column key, which df doesn't have."""
+    return materialise(df.withColumn(key, F.monotonically_increasing_id()), label)
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """df without the rows whose key is in gone, a table of that one column; sent whole only at a proven size."""
     return df.join(F.broadcast(gone) if fits(gone, 16) else gone, key, "left_anti")
 
@@ -78,15 +85,20 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("p")).select("p.u", "p.v")
 
+    def small_side(m: DataFrame) -> DataFrame:
+        """A star's centre may hold a third of all edges, so minima go to the edges while their size is proven small;
+        beyond, adaptive joins split such a centre. There are at most two minima an edge."""
+        return F.broadcast(m) if seen[0] * 2 * 16 <= 16 << 20 else m
+
     def large(e: DataFrame) -> DataFrame:
         n = both(e)
         m = n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return n.where("v > u").join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return n.where("v > u").join(small_side(m), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         n = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
         m = n.groupBy("u").agg(F.min("v").alias("m"))
-        moved = n.join(m, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("p"))
+        moved = n.join(small_side(m), "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("p"))
         return moved.select("p.a", "p.b").where("a != b").distinct()
 
     def mark(e: DataFrame):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, without
+from .common import materialise, numbered, unused, without
 
 #: Slots of a bucket, and moves before a filter counts as full.
 SLOTS, MOVES = 4, 64
@@ -169,10 +169,11 @@ def groups(rows: DataFrame, id_type: str) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that mark_duplicates doesn't keep; all columns, whatever their names."""
-    rows = numbered(docs, "exact-rows")
-    marks = mark_duplicates(rows.select(F.col("__row").alias("row_key"), "doc_id", "text"))
-    gone = materialise(marks.where("not kept").select(F.col("row_key").alias("__row")), "exact-gone")
-    return without(rows, gone).drop("__row")
+    key = unused(docs, "__row")
+    rows = numbered(docs, "exact-rows", key)
+    marks = mark_duplicates(rows.select(F.col(key).alias("row_key"), "doc_id", "text"))
+    gone = materialise(marks.where("not kept").select(F.col("row_key").alias(key)), "exact-gone")
+    return without(rows, gone, key).drop(key)
 
 
 def mark_duplicates(keyed: DataFrame) -> DataFrame:

@@ -14,15 +14,15 @@ dealt through it. A shard returns a spanning star for each of its linked groups,
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fits, materialise, numbered, without
+from .common import components, fits, materialise
 
 #: Bound on the fingerprints that fit the upper trees.
 SAMPLE = 1 << 18
@@ -64,20 +64,26 @@ def _spans(data: bytes, k: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
         carry = words[len(words) - k + 1 :] if k > 1 else []
 
 
-def fingerprint(data: bytes, k: int = 3, lanes: int = 1, distinct: bool = False) -> bytes:
-    """64 * lanes bits, most significant first: a bit is 1 if it is set in over half the shingles' hashes.
+def fingerprint(data: bytes, k: int = 3, lanes: int = 1) -> bytes:
+    """64 * lanes bits, most significant first: a bit is 1 if it is set in over half the shingles' hashes, a shingle
+    counted as often as it occurs."""
+    return _majority(_hashes(data, k), lanes)
 
-    The first lane takes XXH64 with seed 42 as it is; the others mix that hash further. distinct: a shingle
-    counts once, as in the Jaccard similarity of sets; else as often as it occurs."""
-    total, n = np.zeros(64 * lanes, np.int64), 0
+
+def _hashes(data: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 with seed 42 of data's shingles of k words, as big-endian words, block by block."""
     digest = xxhash.xxh64_digest
-    parts = (np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends)]), np.uint8) for joined, starts, ends in _spans(data, k))
-    if distinct and (all_ := list(parts)):
-        parts = [np.unique(np.concatenate(all_).view(">u8")).view(np.uint8)]
-    for raw in parts:
-        n += len(raw) // 8
-        for at in range(0, len(raw), 8 << 15):
-            part = raw[at : at + (8 << 15)]
+    for joined, starts, ends in _spans(data, k):
+        yield np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends)]), ">u8")
+
+
+def _majority(parts: Iterable[np.ndarray], lanes: int) -> bytes:
+    """The first lane takes the hashes as they are; the others mix them further."""
+    total, n = np.zeros(64 * lanes, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 15):
+            part = hashes[at : at + (1 << 15)].view(np.uint8)
             for lane in range(lanes):
                 bits = np.unpackbits((_mixed(part, lane) if lane else part).reshape(-1, 8), axis=1)
                 total[64 * lane : 64 * lane + 64] += bits.sum(0, dtype=np.int32)
@@ -91,7 +97,7 @@ def _mixed(raw: np.ndarray, lane: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).astype(">u8").view(np.uint8)
 
 
-def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
     """row_key, doc_id, fp of each whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +105,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1, distinct: bool = F
             out = []
             for value in batch.column(2):
                 raw = value.as_buffer()
-                out.append(fingerprint(raw.to_pybytes() if raw is not None else b"", k, lanes, distinct))
+                out.append(fingerprint(raw.to_pybytes() if raw is not None else b"", k, lanes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_key", "doc_id", "fp"])
 
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
@@ -114,12 +120,13 @@ def _block(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return (fp[:, block // per] >> np.uint64(64 - width * (block % per + 1))) & np.uint64((1 << width) - 1)
 
 
-def fit_tree(values: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
-    """A vantage-point tree as a heap of (vantage point, radius); None where a side can't be split."""
-    tree: list[tuple[int, int] | None] = [None] * ((1 << depth) - 1)
+def fit_tree(values: np.ndarray, depth: int) -> dict[int, tuple[int, int]]:
+    """A vantage-point tree as a heap of (vantage point, radius); no entry where a side can't be split, so its size
+    is bounded by that of the sample, not by 2 ** depth."""
+    tree: dict[int, tuple[int, int]] = {}
 
     def grow(at: int, own: np.ndarray) -> None:
-        if at >= len(tree) or len(own) < 8:
+        if at >= (1 << depth) - 1 or len(own) < 8:
             return
         found = _split(own)
         if found is None:
@@ -149,14 +156,14 @@ def _split(values: np.ndarray) -> tuple[int, int, np.ndarray] | None:
     return best and best[1:]
 
 
-def _deal(tree: list, values: np.ndarray, slack: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _deal(tree: dict[int, tuple[int, int]], values: np.ndarray, slack: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Leaves with who comes there and whether it is their home."""
     todo = [(0, np.arange(len(values)), np.ones(len(values), bool))]
     while todo:
         at, who, home = todo.pop()
         if not len(who):
             continue
-        if at >= len(tree) or tree[at] is None:
+        if at not in tree:
             yield at, who, home
             continue
         vantage, radius = tree[at]
@@ -257,7 +264,7 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1) -> DataFrame
     drawn = drawn if top == 1.0 else drawn.where(F.col("h") < F.lit(int(top * (1 << 64)) - (1 << 63)))
     sample = [bytes(r.fp) for r in drawn.orderBy("h", "fp").limit(wanted).collect()] if depth else []
     drawn = np.frombuffer(b"".join(sample), ">u8").astype(np.uint64).reshape(-1, lanes)
-    trees = [fit_tree(_block(drawn, b, blocks), depth) if depth else [] for b in range(blocks)]
+    trees = [fit_tree(_block(drawn, b, blocks), depth) if depth else {} for b in range(blocks)]
     slack = bits // blocks  # the bits that a block may differ in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +276,7 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1) -> DataFrame
             for b in range(blocks):
                 for leaf, who, home in _deal(trees[b], _block(fp, b, blocks), slack):
                     at = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), b), pa.int32()), pa.array(np.full(len(who), leaf), pa.int32()), pa.array(home), node.take(at), raw.take(at)], ["block", "leaf", "home", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), b), pa.int32()), pa.array(np.full(len(who), leaf), pa.int64()), pa.array(home), node.take(at), raw.take(at)], ["block", "leaf", "home", "node", "fp"])
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -282,16 +289,10 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1) -> DataFrame
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(node[linked], pa.int64()), "b": pa.array(node[root[linked]], pa.int64())})
 
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "block int, leaf int, home boolean, node long, fp binary")
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "block int, leaf long, home boolean, node long, fp binary")
     return dealt.groupBy("block", "leaf").applyInArrow(shard, "a long, b long")
 
 
-def missed(similarity: float, blocks: int, lanes: int) -> float:
-    """The probability that a pair of this Jaccard similarity agrees in no block."""
-    angle = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return (1 - (1 - angle) ** (64 * lanes // blocks)) ** blocks
-
-
 def near_groups(fps: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """fps(row_key, doc_id, fp), a table, with component_id (the smallest doc_id reachable over links) and
     keep_key (the row_key of one row of that doc_id). link: edges a, b between nodes(node, fp).
@@ -302,8 +303,11 @@ def near_groups(fps: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataF
     nodes = materialise(fps.groupBy("fp").agg(F.min("row_key").alias("node"), best), "simhash-nodes")
     reached = components(materialise(link(nodes), "simhash-links"), "simhash-cc")
     own = nodes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = materialise(own, "simhash-own")
     per_root = own.groupBy("root").agg(F.min("best").alias("first"))
-    named = own.select("fp", "root").join(per_root, "root").select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("keep_key"))
+    # a root may hold a third of all nodes: no shuffle by root while the roots' names are small; beyond, adaptive joins split it
+    per_root = materialise(per_root, "simhash-roots")
+    named = own.select("fp", "root").join(F.broadcast(per_root) if fits(per_root, 64) else per_root, "root").select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("keep_key"))
     named = materialise(named, "simhash-named")
     return fps.join(named, F.col("fp") == F.col("__fp")).drop("__fp")
 
@@ -316,146 +320,3 @@ def simhash_components(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
     fps = materialise(fingerprints(rows, k), "simhash")
     return near_groups(fps, lambda nodes: links(nodes, bits, blocks=2)).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
-
-#: Texts are near copies if their sets of WIDE_WORDS-word shingles have a Jaccard similarity of 4 / 5 or more. On 6
-#: lanes that turns 58 of 384 bits, with a spread of 7; drop_near_duplicates() is exact and needs no fingerprints.
-WIDE_LANES, WIDE_BLOCKS, WIDE_WORDS = 6, 30, 5
-#: About the texts that tell which shingles are common, and the bound on those that are told.
-COMMON_TEXTS, COMMON = 1 << 14, 1 << 17
-
-
-def shingle_set(data: bytes, k: int) -> np.ndarray:
-    """The XXH64 hashes of data's shingles of k words, each once, in order."""
-    digest = xxhash.xxh64_digest
-    raw = b"".join(digest(joined[s:e], 42) for joined, starts, ends in _spans(data, k) for s, e in zip(starts, ends))
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 4 / 5 or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (len(a) + len(b) - both)
-
-
-def _text(value: pa.Scalar) -> bytes:
-    raw = value.as_buffer()
-    return raw.to_pybytes() if raw is not None else b""
-
-
-def _common(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that occur in several of a sample of texts, as rows (hash, count) by hash. It only sets the order
-    in which shingles are taken for a prefix; any order gives the same links."""
-    n = docs.count()
-    top = min(1.0, COMMON_TEXTS / max(1, n), 1 / 8 + 1000 / max(1, n))
-    drawn = docs.select("text", F.xxhash64("row_key").alias("h"))
-    drawn = drawn if top == 1.0 else drawn.where(F.col("h") < F.lit(int(top * (1 << 64)) - (1 << 63)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_text(value), k).view(np.int64))], ["h"])
-
-    seen = drawn.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    rows = seen.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.uint64)
-    order = np.argsort(h)
-    return np.stack([h[order], n[order]])
-
-
-def prefixes(docs: DataFrame, k: int) -> DataFrame:
-    """row_key, doc_id, fp (a 128-bit digest of the set of shingles), size (of the set) and prefix: its first
-    n - ceil(4n / 5) + 1 shingles, rare ones first. Two sets with a similarity of 4 / 5 share one of their prefixes."""
-    common = _common(docs, k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, heads = [], [], []
-            for value in batch.column(2):
-                own = shingle_set(_text(value), k)
-                fps.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                n = len(own) + -4 * len(own) // 5 + 1 if len(own) else 0
-                rank = np.zeros(len(own), np.uint64)
-                if common.shape[1]:
-                    at = np.minimum(np.searchsorted(common[0], own), common.shape[1] - 1)
-                    rank = np.where(common[0][at] == own, common[1][at], rank)
-                heads.append(own[np.lexsort((own, rank))[:n]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["row_key", "doc_id", "fp", "size", "prefix"])
-
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, size long, prefix array<long>")
-
-
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group's first row, the node that names it, with the others, by one row at a time."""
-    own = None
-    for batch in batches:
-        a, b = [], []
-        for group, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            hashes = np.frombuffer(raw.as_buffer(), np.uint64)
-            if group == node:
-                own = hashes
-            elif _alike(own, hashes):
-                a.append(node)
-                b.append(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-#: Sets of m and n shingles, of whose prefixes `shared` are in common, have at most as many more in common as are
-#: left of the one whose prefix ends first; a similarity of 4 / 5 takes 4 / 9 of m + n.
-_MAY = "5 * least(m, n) >= 4 * greatest(m, n) and 9 * (shared + ceil(4 * greatest(m, n) / 5) - 1) >= 4 * (m + n)"
-
-
-def shingle_links(nodes: DataFrame, fps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Edges a, b that connect the nodes whose sets of shingles have a similarity of 4 / 5 or more, exactly, and as
-    many of them as it takes to connect every such pair.
-
-    Nodes with a shingle of their prefixes in common form a group. Its smallest node is compared with the others
-    first, so a cluster of near copies costs a star; then pairs of nodes that aren't connected yet. Only pairs
-    with enough shingles in common are compared, by whole sets."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, raw = None, b""
-        for batch in batches:
-            out = []
-            for at, (node, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                if node != last:
-                    last, raw = node, shingle_set(_text(text), k).tobytes()
-                out.append(raw)
-                if len(out) == 256 or at + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at + 1 - len(out), len(out)) for c in (0, 1)), pa.array(out, pa.binary())], ["group", "node", "hashes"])
-                    out = []
-
-    def compared(pairs: DataFrame, label: str) -> DataFrame:
-        """Links of pairs(group, node), group < node."""
-        rows = materialise(pairs.unionByName(pairs.select("group", F.col("group").alias("node")).distinct()), f"{label}-pairs")
-        chosen = docs.join(F.broadcast(rows) if fits(rows, 16) else rows, docs["row_key"] == rows["node"]).select("group", "node", "text")
-        sets = chosen.mapInArrow(hashes, "group long, node long, hashes binary").repartition("group").sortWithinPartitions("group", "node")
-        return materialise(sets.mapInArrow(_star, "a long, b long"), label)
-
-    twice = materialise(fps.select("row_key").join(nodes.select(F.col("node").alias("row_key")), "row_key", "left_anti"), "near-twice")
-    posts = without(fps.select("row_key", "size", "prefix"), twice, "row_key").select(F.explode("prefix").alias("h"), F.struct(F.col("row_key").alias("node"), "size").alias("own"))
-    same = Window.partitionBy("h")
-    posts = posts.withColumn("centre", F.min("own").over(same)).withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1")
-    posts = materialise(posts.selectExpr("h", "own.node", "own.size as n", "centre.node as group", "centre.size as m"), "near-posts")
-
-    stars = posts.where("node != group").groupBy("group", "node").agg(F.count(F.lit(1)).alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"))
-    first = compared(stars.where(_MAY).select("group", "node"), "near-stars")
-    rooted = posts.join(components(first, "near-stars-cc"), "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
-    left = materialise(rooted.join(several, "h"), "near-left")
-    one, other = left.select("h", F.col("node").alias("group"), F.col("n").alias("m"), F.col("root").alias("up")), left
-    pairs = one.join(other, "h").where("group < node and up != root").groupBy("group", "node").agg(F.count(F.lit(1)).alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return first.unionByName(compared(pairs.where(_MAY).select("group", "node"), "near-cross"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies: the first by doc_id (nulls last), then by row.
-
-    Texts link if the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more. All columns stay."""
-    rows = numbered(docs, "near-rows")
-    texts = rows.select(F.col("__row").alias("row_key"), "doc_id", "text")
-    fps = materialise(prefixes(texts, WIDE_WORDS), "near-fps")
-    marks = near_groups(fps.select("row_key", "doc_id", "fp"), lambda nodes: shingle_links(nodes, fps, texts, WIDE_WORDS))
-    gone = materialise(marks.where("row_key != keep_key").select(F.col("row_key").alias("__row")), "near-gone")
-    return without(rows, gone).drop("__row")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from codeloam.llm import canon, chat, exact, langid, licenses, packing, pii, simhash, tokens
+from codeloam.llm import canon, chat, exact, langid, licenses, near, packing, pii, simhash, tokens
 
 RANKS, VOCABULARY = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, row_key string, pii int, digest string"
@@ -126,9 +126,8 @@ def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(8)
     docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(30)]
     copies = [(1000 + i, t.replace(t.split()[150], "other", 1)) for i, t in docs[:10]]
-    left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, docs + copies)).collect()}
+    left = {r.doc_id for r in near.drop_near_duplicates(frame(spark, docs + copies)).collect()}
     assert left == {i for i, _ in docs}
-    assert simhash.missed(0.85, simhash.WIDE_BLOCKS, simhash.WIDE_LANES) < 0.02
 
 
 def varied(seed, lengths, counts):
@@ -161,13 +160,16 @@ def test_near_copies_are_judged_by_their_exact_similarity(spark):
         rows += [(2 * i, a), (2 * i + 1, b)]
     values = [jaccards(p)[1, 0] for p in pairs]
     assert sum(0.6 <= v < 0.8 for v in values) > 10
-    left = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    left = {r.doc_id for r in near.drop_near_duplicates(frame(spark, rows)).collect()}
     for i, v in enumerate(values):
         assert (2 * i + 1 in left) == (v < 0.8), v
 
 
 def test_no_near_copy_is_missed_at_any_length(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COMMON", 50)
+    monkeypatch.setattr(near, "COMMON", 50)
+    monkeypatch.setattr(near, "CHUNK", 16)
+    monkeypatch.setattr(near, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(near, "STAR_PAIRS", 20)
     texts = varied(3, [3, 8, 12, 14, 20, 26, 30, 40, 60, 90, 300] * 3, [0, 1, 1, 2, 3, 4, 5])
     texts += [" ".join(f"c{i}" for i in range(at, at + 60)) for at in range(0, 60, 3)]  # a chain, each like the next only
     texts += [" ".join(f"s{i}" for i in range(8)) + end for end in ("", " s8")]  # 4 of 5 shingles in common
@@ -178,7 +180,7 @@ def test_no_near_copy_is_missed_at_any_length(spark, monkeypatch):
             root = [min(a, b) if r in (a, b) else r for r in root]
     rows = list(enumerate(texts))
     random.Random(4).shuffle(rows)
-    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(root)
+    assert {r.doc_id for r in near.drop_near_duplicates(frame(spark, rows)).collect()} == set(root)
 
 
 def test_exact_duplicates(spark):
