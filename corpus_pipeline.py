@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import exact, langid, packing, pii, simhash
+from codeloam.llm import exact, langid, near, packing, pii
 from codeloam.llm.common import materialise
 from codeloam.llm.queries import PII_KEY, VOCABULARY
 
@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
