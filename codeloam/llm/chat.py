@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder
+from .common import mapped
 
 #: The control strings that the reserved ids stand for.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -101,7 +102,7 @@ def format_turns(turns: DataFrame, ranks: str) -> DataFrame:
                 lead.append(len(head))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(ids, pa.binary()), pa.array(lead, pa.int32()), pa.array([r == LOSS_ROLE for r in roles], pa.bool_())], ["conv_id", "turn", "role", "ids", "lead", "learn"])
 
-    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, turn {order}, role string, ids binary, lead int, learn boolean")
+    return mapped(turns.select("conv_id", "turn", "role", "text"), run, f"conv_id {kind}, turn {order}, role string, ids binary, lead int, learn boolean")
 
 
 def digest_conversations(turns: DataFrame, ranks: str) -> DataFrame:
@@ -155,7 +156,7 @@ def digest_conversations(turns: DataFrame, ranks: str) -> DataFrame:
             close()
             yield _rows(done, names, batch.schema.field(0).type)
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(dealt, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _rows(rows: list[tuple], names: list[str], key: pa.DataType) -> pa.RecordBatch:

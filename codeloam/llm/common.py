@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: Spark's own limit, 64 MB, costs each task's JVM and Python several times that.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def mapped(df: DataFrame, run: Callable, shape) -> DataFrame:
+    """df.mapInArrow(run, shape) in batches of about BATCH bytes. Where the session still has Spark's limit it gets
+    this one; any other is left as it is."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(BATCH))
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, shape)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on idle, through stages that need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or with underscores behind it, so that no column of df is called that."""
     while name in df.columns:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, unused, without
+from .common import mapped, materialise, numbered, unused, without
 
 #: Slots of a bucket, and moves before a filter counts as full.
 SLOTS, MOVES = 4, 64
@@ -128,7 +128,7 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(hashlib.sha256(raw.to_pybytes().lower() if raw is not None else b"").digest())  # bytes.lower: A-Z only
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_key", "doc_id", "digest"])
 
-    return docs.select("row_key", "doc_id", F.col(text).alias("__text")).mapInArrow(run, shape)
+    return mapped(docs.select("row_key", "doc_id", F.col(text).alias("__text")), run, shape)
 
 
 def groups(rows: DataFrame, id_type: str) -> DataFrame:
@@ -162,9 +162,9 @@ def groups(rows: DataFrame, id_type: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema.names)
 
     first = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"), F.lit(1).cast("long").alias("group_size"))
-    own = first.mapInArrow(lambda b: merge(b, False), shape)
+    own = mapped(first, lambda b: merge(b, False), shape)
     shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARD_ROWS))
-    return own.repartition(shards, "digest").mapInArrow(lambda b: merge(b, True), shape)
+    return mapped(own.repartition(shards, "digest"), lambda b: merge(b, True), shape)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _LETTER, _classes
+from .common import mapped
 
 #: Feature buckets; labelled documents and words of each that a model may be fitted on.
 BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS = 1 << 17, 1600, 4000
@@ -321,7 +322,7 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("la
                 out += label(texts[len(out) : stop], own)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, shape)
+    return mapped(docs.select(*kept), run, shape)
 
 
 def predict(docs: DataFrame) -> DataFrame:

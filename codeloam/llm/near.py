@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fits, materialise, numbered, unused, without
+from .common import components, fits, mapped, materialise, numbered, unused, without
 from .simhash import _hashes, _majority, links, near_groups
 
 #: Words in a shingle; bits within which the trees search; bits of 128 beyond which no pair is judged. A pair at 0.8
@@ -59,7 +59,7 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
             for value in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_text(value), k).view(np.int64))], ["h"])
 
-    seen = drawn.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    seen = mapped(drawn.select("text"), run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     rows = seen.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.uint64)
     order = np.argsort(h)
@@ -93,7 +93,7 @@ def shingled(docs: DataFrame, k: int) -> DataFrame:
             columns = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), pa.array(heads, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row_key", "doc_id", "fp", "size", "s0", "s1", "prefix"])
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SHINGLED}")
+    return mapped(docs.select("row_key", "doc_id", "text"), run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SHINGLED}")
 
 
 _CUT = ["group", "salt", "part", "node", "m", "n", "hashes"]
@@ -156,9 +156,9 @@ def judged(pairs: DataFrame, texts: DataFrame, k: int, label: str) -> DataFrame:
     asked = pairs.select("node", ask("n")).unionByName(pairs.select(F.col("group").alias("node"), ask("m")).distinct())
     asked = asked.groupBy("node").agg(F.collect_list("ask").alias("asks"))
     chosen = texts.join(F.broadcast(asked) if many * 2 * 64 <= 16 << 20 else asked, texts["row_key"] == asked["node"]).select("asks", "node", "text")
-    cut = chosen.mapInArrow(_cut(k), "group long, salt int, part int, node long, m long, n long, hashes binary")
+    cut = mapped(chosen, _cut(k), "group long, salt int, part int, node long, m long, n long, hashes binary")
     dealt = cut.repartition("group", "salt", "part").sortWithinPartitions("group", "salt", "part", "node")
-    shared = dealt.mapInArrow(_star, "group long, node long, m long, n long, both long")
+    shared = mapped(dealt, _star, "group long, node long, m long, n long, both long")
     sums = shared.groupBy("group", "node").agg(F.sum("both").alias("both"), F.first("m").alias("m"), F.first("n").alias("n"))
     return materialise(sums.where("5 * both >= 4 * (m + n - both)").select(F.col("group").alias("a"), F.col("node").alias("b")), label)
 

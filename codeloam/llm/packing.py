@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise
+from .common import mapped, materialise
 
 #: Pieces in a shard on average; islands, epochs, parents and generations of the search.
 SHARD_PIECES, ISLANDS, EPOCHS, PARENTS, GENERATIONS = 32_768, 3, 3, 5, 10
@@ -50,7 +50,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
                     crc.append(zlib.crc32(raw[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

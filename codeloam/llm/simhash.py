@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fits, materialise
+from .common import components, fits, mapped, materialise
 
 #: Bound on the fingerprints that fit the upper trees.
 SAMPLE = 1 << 18
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
                 out.append(fingerprint(raw.to_pybytes() if raw is not None else b"", k, lanes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row_key", "doc_id", "fp"])
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
+    return mapped(docs.select("row_key", "doc_id", "text"), run, f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
 
 
 def _block(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
@@ -289,7 +289,7 @@ def links(nodes: DataFrame, bits: int, blocks: int, lanes: int = 1) -> DataFrame
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(node[linked], pa.int64()), "b": pa.array(node[root[linked]], pa.int64())})
 
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "block int, leaf long, home boolean, node long, fp binary")
+    dealt = mapped(nodes.select("node", "fp"), deal, "block int, leaf long, home boolean, node long, fp binary")
     return dealt.groupBy("block", "leaf").applyInArrow(shard, "a long, b long")
 
 

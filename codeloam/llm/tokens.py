@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import empty_if_null
+from .common import empty_if_null, mapped
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> list[str]:
@@ -35,7 +35,7 @@ def digest_tokens(docs: DataFrame, ranks: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def count_tokens(docs: DataFrame, ranks: str, keep: list[str], name: str = "n_tokens") -> DataFrame:
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, ranks: str, keep: list[str], name: str = "n_to
             counts = [n for n, _ in coder.encode_batch(_texts(batch, batch.num_columns - 1), only_counts=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, shape)
+    return mapped(docs.select(*keep, F.col("text").alias("__text")), run, shape)
 
 
 class TokenLedger:
