@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas import types as T
 
 from .bpe import Encoder, encoder
 from .common import mapped
@@ -24,6 +25,8 @@ from .common import mapped
 #: The control strings that the reserved ids stand for.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
+#: Characters of a text that turns are sorted by, and bytes of ids that are read back at once.
+HEAD, PIECE = 48, 1 << 20
 
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -51,14 +54,18 @@ def assemble(coder: Encoder, turns: list[tuple[str, str]]) -> tuple[np.ndarray,
     for k, (role, _) in enumerate(turns):
         parts += [np.array([begin], np.uint32), ids[k], ids[len(turns) + k], np.array([end], np.uint32), ids[-1]]
         learn += [0, 0, int(role == LOSS_ROLE), 0, 0]
-    sizes = np.array([len(p) for p in parts], np.int64)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    return ids, loss_mask(np.array([len(p) for p in parts], np.int64), np.array(learn, bool))
+
+
+def loss_mask(sizes: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """The mask of segments laid end to end: a prefix sum over their sizes tells where each lies, and one over a step
+    up at the start and down at the end of each learned segment is the mask."""
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    steps = np.zeros(total + 1, np.int64)  # +1 where a learned segment starts, -1 where it ends
-    on = np.flatnonzero(learn)
-    np.add.at(steps, ends[on] - sizes[on], 1)
-    np.add.at(steps, ends[on], -1)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum(steps[:-1]).astype(bool)
+    steps = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
+    np.add.at(steps, (ends - sizes)[learn], 1)
+    np.add.at(steps, ends[learn], -1)
+    return np.cumsum(steps[:-1]).astype(bool)
 
 
 def render(coder: Encoder, ids: np.ndarray) -> str:
@@ -82,8 +89,9 @@ def read_back(coder: Encoder, ids: np.ndarray, mask: np.ndarray) -> tuple[list[t
 
 
 def format_turns(turns: DataFrame, ranks: str) -> DataFrame:
-    """Encode each turn where it lies: conv_id, turn, role, ids (little-endian), lead (ids before its text),
-    learn. One row for each row of turns(conv_id, turn, role, text); null role or text: empty."""
+    """Encode each turn where it lies: conv_id, turn, role, head (the text's first HEAD characters), ids
+    (little-endian), lead (ids before its text), learn. One row for each row of turns(conv_id, turn, role, text); null
+    role or text: empty."""
     kind = turns.schema["conv_id"].dataType.simpleString()
     order = turns.schema["turn"].dataType.simpleString()
 
@@ -100,61 +108,93 @@ def format_turns(turns: DataFrame, ranks: str) -> DataFrame:
                 head = [begin, *heads[role]]
                 ids.append(np.concatenate([np.array(head, "<u4"), body.astype("<u4"), np.array([end, *line], "<u4")]).tobytes())
                 lead.append(len(head))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(ids, pa.binary()), pa.array(lead, pa.int32()), pa.array([r == LOSS_ROLE for r in roles], pa.bool_())], ["conv_id", "turn", "role", "ids", "lead", "learn"])
+            columns = [pa.array(roles, pa.string()), pa.array([t[:HEAD] for t in texts], pa.string()), pa.array(ids, pa.binary()), pa.array(lead, pa.int32()), pa.array([r == LOSS_ROLE for r in roles], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["conv_id", "turn", "role", "head", "ids", "lead", "learn"])
+
+    return mapped(turns.select("conv_id", "turn", "role", "text"), run, f"conv_id {kind}, turn {order}, role string, head string, ids binary, lead int, learn boolean")
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], coder: Encoder, tail: int) -> Iterator[tuple]:
+    """conv_id, ids, lead, learn of sorted turns, with those that tie up to their texts' heads by their whole texts."""
+    open_key, tied = None, {}
+
+    def text(entry: tuple) -> str:
+        return unescape(coder.decode(np.frombuffer(entry[0], "<u4")[entry[1] : -tail]).decode())
 
-    return mapped(turns.select("conv_id", "turn", "role", "text"), run, f"conv_id {kind}, turn {order}, role string, ids binary, lead int, learn boolean")
+    def out() -> Iterator[tuple]:
+        for entry, n in sorted(tied.items(), key=lambda e: text(e[0])) if len(tied) > 1 else tied.items():
+            for _ in range(n):
+                yield (open_key[0], *entry)
+
+    for batch in batches:
+        for conv, turn, role, head, *entry in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            key, entry = (conv, turn, role, head), tuple(entry)
+            if key != open_key:
+                yield from out()
+                open_key, tied = key, {}
+            tied[entry] = tied.get(entry, 0) + 1
+    yield from out()
 
 
 def digest_conversations(turns: DataFrame, ranks: str) -> DataFrame:
     """Format all conversations and read each back from its token ids.
 
-    Turns are ordered by turn, ties by role and text (equal rows count each). Every turn is encoded
-    before the shuffle; conversations are then streamed in order, so one of any length needs the memory
-    of a single turn. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars.
-    Rows with a null conv_id form one conversation."""
+    Turns are ordered by turn, ties by role and text (equal rows count each). Every turn is encoded before the
+    shuffle; conversations are then streamed in order, in pieces of whole turns of about PIECE bytes: the ids of a
+    piece are laid end to end, its mask is made by prefix sums over the sizes of its segments, and turns and learned
+    texts are found from the reserved ids and the mask alone. So a conversation of any length needs the memory of a
+    piece, or of the turns that tie up to the first HEAD characters of their texts. Returns conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256 and formatted_chars. Rows with a null conv_id form one conversation."""
     kind = turns.schema["conv_id"].dataType.simpleString()
     coded = format_turns(turns, ranks)
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    dealt = coded.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "head")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    key = T.to_arrow_type(turns.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks)
-        begin, end = reserved(coder)
         tail = 1 + len(coder.encode("\n"))
-        open_id, some = None, False
+        open_id, piece, held, done = None, [], 0, []
         count = learned = chars = 0
         said, loss = hashlib.sha256(), hashlib.sha256()
-        done: list[tuple] = []
-
-        def close():
-            done.append((open_id, count, said.hexdigest(), learned, loss.hexdigest(), chars))
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 3, 4, 5)]
-            for conv, raw, lead, learn in zip(*columns):
-                if not some or conv != open_id:
-                    if some:
-                        close()
-                    open_id, some = conv, True
-                    count = learned = chars = 0
-                    said, loss = hashlib.sha256(), hashlib.sha256()
-                ids = np.frombuffer(raw, "<u4")
-                if ids[0] != begin or ids[-tail] != end:
-                    raise ValueError("a turn without its control ids")
-                mask = np.zeros(len(ids), bool)
-                mask[lead : len(ids) - tail] = learn
-                ((role, text),), under = read_back(coder, ids, mask)
+        def read() -> None:
+            nonlocal piece, held, count, learned, chars
+            parts = [np.frombuffer(raw, "<u4") for raw, _, _ in piece]
+            sizes = np.array([(lead, len(ids) - lead - tail, tail) for ids, (_, lead, _) in zip(parts, piece)], np.int64).ravel()
+            learn = np.array([(False, on, False) for _, _, on in piece], bool).ravel()
+            ids = np.concatenate(parts)
+            found, under = read_back(coder, ids, loss_mask(sizes, learn))
+            if len(found) != len(piece):
+                raise ValueError("turns that their control ids don't part")
+            for role, text in found:
                 said.update(f"{role}\n{text}\n".encode())
-                loss.update(under.encode())
-                count, learned = count + 1, learned + len(under)
-                chars += len(render(coder, ids))
-            if done:
-                yield _rows(done, names, batch.schema.field(0).type)
-                done = []
-        if some:
-            close()
-            yield _rows(done, names, batch.schema.field(0).type)
+            loss.update(under.encode())
+            count, learned, chars = count + len(found), learned + len(under), chars + len(render(coder, ids))
+            piece, held = [], 0
+
+        for conv, raw, lead, learn in _in_order(batches, coder, tail):
+            if conv != open_id or not (piece or count):
+                if piece:
+                    read()
+                if count:
+                    done.append((open_id, count, said.hexdigest(), learned, loss.hexdigest(), chars))
+                open_id, count, learned, chars = conv, 0, 0, 0
+                said, loss = hashlib.sha256(), hashlib.sha256()
+                if len(done) >= 10_000:
+                    yield _rows(done, names, key)
+                    done = []
+            piece.append((raw, lead, learn))
+            held += len(raw)
+            if held >= PIECE:
+                read()
+        if piece:
+            read()
+        if count:
+            done.append((open_id, count, said.hexdigest(), learned, loss.hexdigest(), chars))
+        if done:
+            yield _rows(done, names, key)
 
     return mapped(dealt, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
