@@ -40,25 +40,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load every document, revise those of 100 to 399 characters to half their counts, delete the shorter
-    ones, and replay the first batch, which must change nothing."""
-
-    def batches(counts: DataFrame) -> dict[str, DataFrame]:
-        plus, minus = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
-        short, tiny = counts.where("n_chars < 400 and n_chars >= 100"), counts.where("n_chars < 100")
-        half = short.withColumn("n_tokens", F.expr("n_tokens div 2")).withColumn("n_chars", F.expr("n_chars div 2"))
-        return {
-            "load": counts.select("*", plus),
-            "revise": short.select("*", minus).unionByName(half.select("*", plus)),
-            "delete": tiny.select("*", minus),
-        }
-
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    path = scratch_path(spark, "ledger")
-    tokens.rollup_by_batches(spark, docs, path, {"byte_bpe_50k": RANKS}, batches)
-    ledger = tokens.TokenLedger(spark, path)
-    ledger.commit("load", ledger.totals().withColumn("sign", F.lit(1)))
-    return ledger.totals()
+    return tokens.rollup_edits(spark, docs, scratch_path(spark, "ledger"), {"byte_bpe_50k": RANKS})
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
