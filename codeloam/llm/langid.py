@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,11 @@ from pyspark.sql import types as T
 from .bpe import _LETTER, _classes
 from .common import mapped
 
-#: Feature buckets; labelled documents and words of each that a model may be fitted on.
-BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS = 1 << 17, 1600, 4000
+#: Feature buckets; languages that a model may have; labelled documents and words of each that it may be fitted on, and
+#: bytes of a word from which it isn't learned from.
+BUCKETS, LANGUAGES, SAMPLE_DOCS, SAMPLE_WORDS, WORD_BYTES = 1 << 17, 256, 1600, 4000, 256
+#: Passages that a longer text's words are taken from.
+PASSAGES = 20
 #: Length of the spliced training sequences, how many make a step, and steps.
 LENGTH, BATCH, STEPS = 24, 256, 260
 #: Words that are scored side by side, and the length of a block of the scans.
@@ -137,11 +141,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
         words, counts = words_of(texts[at : at + 50])
         start = 0
         for n, name in zip(counts.tolist(), labels[at : at + 50]):
-            kept = min(n, SAMPLE_WORDS)
-            if kept:
-                held.append(words.slice(start, kept))
-                usable.append((total, total + kept, language[name]))
-                total += kept
+            if n:
+                held.append(words.slice(start, n))
+                usable.append((total, total + n, language[name]))
+                total += n
             start += n
         held = [pa.concat_arrays(held)] if held else []
     if not usable or k == 1:
@@ -151,7 +154,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
     spoken = [[u for u in usable if u[2] == i] for i in range(k)]
     rng = np.random.default_rng(seed)
     squares = np.full((BUCKETS, k), 1e-6, np.float32)
-    t_squares = np.full((k, k), 1e-6, np.float32)
+    t_squares, i_squares = np.full((k, k), 1e-6, np.float32), np.full(k, 1e-6, np.float32)
     for _ in range(STEPS):
         token = np.zeros((BATCH, LENGTH), np.int64)
         truth = np.zeros((BATCH, LENGTH), np.int64)
@@ -183,6 +186,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
         t_grad = (seen - pairs) / BATCH
         t_squares += t_grad**2
         model.transitions += 0.1 * t_grad / np.sqrt(t_squares)
+        i_grad = (target[:, 0] - marginal[:, 0]).mean(0)
+        i_squares += i_grad**2
+        model.initial += 0.1 * i_grad / np.sqrt(i_squares)
     return model
 
 
@@ -275,22 +281,41 @@ def label(texts: list[str], model: Model) -> list[tuple[str, float]]:
     return [(model.languages[b], float(s[b] / c)) if c else ("und", 0.0) for b, s, c in zip(best, sums, counts)]
 
 
+def excerpt(text: str) -> str:
+    """At most SAMPLE_WORDS words of a text, from evenly spaced passages of all of it, without overlong ones."""
+    words, _ = words_of([text])
+    words = words.filter(pc.less_equal(pc.binary_length(words), WORD_BYTES))
+    n, each = len(words), SAMPLE_WORDS // PASSAGES
+    if n > SAMPLE_WORDS:
+        words = pa.concat_arrays([words.slice(k * (n - each) // (PASSAGES - 1), each) for k in range(PASSAGES)])
+    return b" ".join(words.to_pylist()).decode("utf-8", "replace")
+
+
 def train(docs: DataFrame) -> Model | None:
     """Fit on at most SAMPLE_DOCS labelled documents, the first by the hash of their ids, in equal parts of
-    each language; of each at most SAMPLE_WORDS words are drawn from. None without a label."""
+    each language; of each at most SAMPLE_WORDS words leave the tasks. None without a label; ValueError with more than
+    LANGUAGES labels, as a model of so many is not of languages."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # one row a language; a corpus has a bounded number of them
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(200).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different labels in lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [excerpt(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["h", "text"])
+
     texts, labels = [], []
     for name, n in counts.items():
         wanted = max(1, SAMPLE_DOCS // len(counts))
-        own = rows.where(F.col("lang") == name)
+        own = rows.where(F.col("lang") == name).select("h", "text")
         # about twice as many as are wanted leave the tasks, however many tasks there are
         top = min(1.0, (2 * wanted + 50) / n)
         some = own if top == 1.0 else own.where(F.col("h") < F.lit(int(top * (1 << 64)) - (1 << 63)))
-        found = some.orderBy("h", "text").limit(wanted).collect()
+        short = lambda df: mapped(df, cut, "h long, text string").orderBy("h", "text").limit(wanted).collect()  # noqa: E731, B023
+        found = short(some)
         if len(found) < min(wanted, n):
-            found = own.orderBy("h", "text").limit(wanted).collect()
+            found = short(own)
         texts += [r.text for r in found]
         labels += [name] * len(found)
     return fit(texts, labels)
