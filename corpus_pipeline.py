@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloam.llm import exact, langid, near, packing, pii
-from codeloam.llm.common import materialise
+from codeloam.llm.common import materialise, unused
 from codeloam.llm.queries import PII_KEY, VOCABULARY
 
 #: A document whose words are spread over languages so that none has half of them is rejected.
@@ -18,9 +18,12 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those in no one language; a model for the rest is fitted on docs."""
-    names = ("__lang_pred", "__score")
-    found = langid.identify(docs, langid.train(docs), names)
+    """Rejects documents without a letter and those in no one language; a model for the rest is fitted on docs. Where
+    no document has a label there is no model, and all with a letter stay."""
+    names, model = (unused(docs, "__lang_pred"), unused(docs, "__score")), langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model, names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
 
 
@@ -36,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values give way to pseudonyms; n_chars, if there, is counted anew."""
-    out = pii.pseudonymise(docs, PII_KEY, pii="__pii")
+    out = pii.pseudonymise(docs, PII_KEY, pii=unused(docs, "__pii"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
