@@ -35,7 +35,7 @@ _FRESH, _INL, _INN, _INO, _AFTER_SPACE, _INW, _NEED1, _NEED2 = range(8)
 #: Code points of a batch that are worked on at once; longer texts are cut at certain boundaries.
 CHUNK_CHARS = 1 << 20
 #: Slices that a worker remembers.
-CACHE_SLICES = 150_000
+CACHE_SLICES = 500_000
 #: Bytes from which a slice is merged alone, in n log n.
 LONG_SLICE = 120
 _NO_PAIR = 1 << 40
@@ -185,9 +185,10 @@ class Encoder:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], _NO_PAIR)
 
-    def merge_many(self, slices: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+    def merge_many(self, slices: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Merge many slices side by side: in each round every slice joins its pair of lowest rank, the
-        leftmost among equals. Yields groups of finished slices: their numbers with their ids, concatenated."""
+        leftmost among equals. Yields groups of finished slices: their ids, concatenated, how many each has, and
+        which slices they are."""
         if self._joins is None:
             self._joins = self._pairs()
         keys, values, single, of_bytes = self._joins
@@ -206,7 +207,7 @@ class Encoder:
             over = low == _NO_PAIR
             if over.any():
                 gone = np.repeat(over, length)
-                yield np.split(tokens[gone], np.cumsum(length[over])[:-1]), owner[edge[over]]
+                yield tokens[gone], length[over], owner[edge[over]]
                 tokens, owner, rank = tokens[~gone], owner[~gone], rank[~gone]
                 length, low = length[~over], low[~over]
                 if not len(tokens):
@@ -264,9 +265,15 @@ class Encoder:
         if None in places:
             missing = [k for k, place in enumerate(places) if place is None]
             short = [k for k in missing if len(slices[k]) <= LONG_SLICE]
-            for many, which in self.merge_many([slices[k] for k in short]):
-                for ids, k in zip(many, which.tolist()):
-                    places[short[k]] = self._keep(slices[short[k]], ids.tolist())
+            for ids, lengths, which in self.merge_many([slices[k] for k in short]):
+                at, before = len(self._first), len(self._ids)
+                self._ids.frombytes(ids.astype(np.uint32).tobytes())
+                self._first.frombytes((before + np.cumsum(lengths) - lengths).tobytes())
+                self._length.frombytes(lengths.astype(np.int64).tobytes())
+                own = [short[k] for k in which.tolist()]
+                cache.update(zip(map(slices.__getitem__, own), range(at, at + len(own))))
+                for k, place in zip(own, range(at, at + len(own))):
+                    places[k] = place
             for k in missing:
                 if places[k] is None:
                     places[k] = self._keep(slices[k], self._merge_long(slices[k]))
