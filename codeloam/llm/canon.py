@@ -106,7 +106,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         return materialise(held.select(F.explode(F.array(*ids)).alias("held_id")).distinct(), "canon-holders")
 
     def of(ids: DataFrame) -> DataFrame:
-        ids = F.broadcast(ids) if fits(ids, 64) else ids  # a proven size; else they meet in a shuffle
+        ids = F.broadcast(ids) if fits(ids, 64, 16 << 20) else ids  # a proven size; else they meet in a shuffle
         return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("held_id")), "left_semi")
 
     texts = of(holders(own, "own", "doc_id"))
@@ -117,7 +117,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     split = materialise(split_digests(texts, shared), "canon-split")
 
     def settled(rows: DataFrame, name: str, as_: str) -> DataFrame:
-        joined = rows.join(F.broadcast(split) if fits(split, 128) else split, rows[name] == split["digest"], "left")
+        joined = rows.join(F.broadcast(split) if fits(split, 128, 16 << 20) else split, rows[name] == split["digest"], "left")
         return joined.withColumn(as_, F.when(F.col("digest").isNull(), F.col(name)).otherwise(F.concat(name, f"{name}_sha"))).drop("digest", name, f"{name}_sha")
 
     first = settled(own, "own", "fingerprint")

@@ -96,7 +96,11 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(gone) if fits(gone, 16) else gone, key, "left_anti")
 
 
-def fits(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> bool:
+#: Bytes that are sent whole to every executor at most; the driver holds them too, several times over.
+SENT = 4 << 20
+
+
+def fits(df: DataFrame, row_bytes: int, limit: int = SENT) -> bool:
     """Whether a materialised table of rows of at most row_bytes is proven to stay under limit."""
     return df.count() * row_bytes <= limit
 
@@ -117,7 +121,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     def small_side(m: DataFrame) -> DataFrame:
         """A star's centre may hold a third of all edges, so minima go to the edges while their size is proven small;
         beyond, adaptive joins split such a centre. There are at most two minima an edge."""
-        return F.broadcast(m) if seen[0] * 2 * 16 <= 16 << 20 else m
+        return F.broadcast(m) if seen[0] * 2 * 16 <= SENT else m
 
     def large(e: DataFrame) -> DataFrame:
         n = both(e)

@@ -173,7 +173,7 @@ def _deal(tree: dict[int, tuple[int, int]], values: np.ndarray, slack: int) -> I
         todo.append((2 * at + 2, who[far], (home & (d > radius))[far]))
 
 
-class _Union:
+class Union:
     """Smallest member as root, by pointer jumping over whole arrays."""
 
     def __init__(self, n: int):
@@ -199,7 +199,7 @@ def _distances(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _peel(fp: np.ndarray, points: np.ndarray, bits: int, union: _Union) -> np.ndarray:
+def _peel(fp: np.ndarray, points: np.ndarray, bits: int, union: Union) -> np.ndarray:
     """Take dense balls out of points: what lies within `bits` of a pivot is one group, what lies beyond twice
     that can't touch the group, and each point between needs a single link to it. Returns the rest."""
     while len(points) > PEEL_FROM:
@@ -229,7 +229,7 @@ def _peel(fp: np.ndarray, points: np.ndarray, bits: int, union: _Union) -> np.nd
 
 def link_shard(fp: np.ndarray, home: np.ndarray, block: np.ndarray, bits: int, slack: int) -> np.ndarray:
     """Root of each fingerprint of a shard under all links between a home and a visitor."""
-    union = _Union(len(fp))
+    union = Union(len(fp))
     rest = _peel(fp, np.arange(len(fp)), bits, union)
     todo = [(rest[home[rest]], rest)]
     while todo:
@@ -302,14 +302,14 @@ def near_groups(fps: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataF
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
     nodes = materialise(fps.groupBy("fp").agg(F.min("row_key").alias("node"), best), "simhash-nodes")
     reached = components(materialise(link(nodes), "simhash-links"), "simhash-cc")
-    own = nodes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = materialise(own, "simhash-own")
-    per_root = own.groupBy("root").agg(F.min("best").alias("first"))
-    # a root may hold a third of all nodes: no shuffle by root while the roots' names are small; beyond, adaptive joins split it
-    per_root = materialise(per_root, "simhash-roots")
-    named = own.select("fp", "root").join(F.broadcast(per_root) if fits(per_root, 64) else per_root, "root").select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("keep_key"))
-    named = materialise(named, "simhash-named")
-    return fps.join(named, F.col("fp") == F.col("__fp")).drop("__fp")
+    own = materialise(nodes.join(reached, "node", "left"), "simhash-own")
+    # a root may hold a third of all nodes: no shuffle by root while the roots are few; beyond, adaptive joins split it
+    linked = own.where("root is not null")
+    roots = materialise(linked.groupBy("root").agg(F.min("best").alias("first")), "simhash-roots")
+    linked = linked.join(F.broadcast(roots) if fits(roots, 64) else roots, "root").select("fp", "first")
+    named = linked.unionByName(own.where("root is null").select("fp", F.col("best").alias("first")))
+    named = named.select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("keep_key"))
+    return fps.join(materialise(named, "simhash-named"), F.col("fp") == F.col("__fp")).drop("__fp")
 
 
 def simhash_components(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
