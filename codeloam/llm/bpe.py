@@ -35,7 +35,7 @@ _FRESH, _INL, _INN, _INO, _AFTER_SPACE, _INW, _NEED1, _NEED2 = range(8)
 #: Code points of a batch that are worked on at once; longer texts are cut at certain boundaries.
 CHUNK_CHARS = 1 << 20
 #: Slices that a worker remembers.
-CACHE_SLICES = 500_000
+CACHE_SLICES = 300_000
 #: Bytes from which a slice is merged alone, in n log n.
 LONG_SLICE = 120
 _NO_PAIR = 1 << 40
