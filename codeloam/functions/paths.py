@@ -72,6 +72,11 @@ def glob_regex(pattern: str) -> str:
     return "".join(out) + "$"
 
 
+def python_regex(pattern: str) -> str:
+    """glob_regex() as an expression for Python."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), glob_regex(pattern))
+
+
 def matches(path: Column, patterns: list[str]) -> Column:
     """Whether a glob takes the path, or, with a slash at its end, one of the directories above it."""
     hit = F.lit(False)

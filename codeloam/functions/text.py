@@ -55,8 +55,12 @@ def generated_marker(text: Column, ext: Column) -> Column:
     return marked | F.when(ext == "go", canonical).otherwise(loose)
 
 
-def clone_id(first: Column, second: Column, tokens: Column) -> Column:
-    """SHA-256 of the two paths in order and the tokens, each behind its length as eight bytes."""
-    prefix = lambda x: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(x).cast("long")), 16, "0")), x)
-    lead = F.concat(prefix(F.least(first, second).cast("binary")), prefix(F.greatest(first, second).cast("binary")))
-    return F.sha2(F.aggregate(tokens, lead, lambda acc, x: F.concat(acc, prefix(x.cast("binary")))), 256)
+def prefixed(x: Column) -> Column:
+    """Binary x behind its length as eight bytes, in hex."""
+    return F.concat(F.lpad(F.hex(F.octet_length(x).cast("long")), 16, "0"), F.hex(x))
+
+
+def clone_id(first: Column, second: Column, said: Column) -> Column:
+    """SHA-256 of the two paths in order and the tokens, each prefixed; said: the tokens so, joined."""
+    lead = F.concat(prefixed(F.least(first, second).cast("binary")), prefixed(F.greatest(first, second).cast("binary")))
+    return F.sha2(F.unhex(F.concat(lead, said)), 256)

@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import clone_id
+from ..functions.text import clone_id, prefixed
 from ..schema import CLONE_LINES, CLONE_TOKENS
+from ..sources.scratch import keep
 
 _FILE = ["rev", "language", "path"]
+#: Positions of a file whose ranges are cut out together.
+SLAB = 1 << 12
 
 
 def windows(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
@@ -59,7 +62,7 @@ def _edges(grams: DataFrame, side: str) -> DataFrame:
 
 def extents(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
     """rev, language, a_path, a_pos, b_path, b_pos, tokens of all maximal pairs that don't overlap themselves."""
-    grams = shared_windows(windows(tokens, size))
+    grams = keep(shared_windows(windows(tokens, size)), "grams")
     run = ["rev", "language", "a_path", "b_path", "diagonal"]
     rank = F.row_number().over(W.partitionBy(*run).orderBy("a_pos"))
     starts = _edges(grams, "pred").withColumn("rank", rank)
@@ -69,10 +72,28 @@ def extents(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
     return found.where("a_path != b_path or a_pos + tokens <= b_pos")
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """Two rows for each pair: pair, side, path and its range of positions."""
-    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_path").alias("path"), F.col(f"{s}_pos").alias("pos"))
-    return pairs.select("rev", "pair", "tokens", F.explode(F.array(side("a"), side("b"))).alias("s")).select("rev", "pair", "tokens", "s.side", "s.path", "s.pos")
+def _ranges(found: DataFrame, tokens: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """rev, path, pos, tokens of each distinct range of found, with its first and last line, its source lines, and its
+    tokens' text (in hex, each behind its length). Positions are opened and met by equality: a range costs its own
+    tokens, however long its file is and in however many pairs it occurs."""
+    side = lambda s: F.struct(F.col(f"{s}_path").alias("path"), F.col(f"{s}_pos").alias("pos"))
+    asked = found.select("rev", F.explode(F.array(side("a"), side("b"))).alias("s"), "tokens").select("rev", "s.path", "s.pos", "tokens").distinct()
+    # a file meets its ranges once for each slab of positions that they start in; they are cut out in place
+    asked = asked.groupBy("rev", "path", F.expr(f"pos div {SLAB}").alias("slab")).agg(F.collect_list(F.struct("pos", "tokens")).alias("asks"))
+    row = F.struct("pos", prefixed(F.col("text").cast("binary")).alias("said"), "line", "end_line")
+    files = tokens.join(asked.select("rev", "path").distinct(), ["rev", "path"], "left_semi").groupBy("rev", "path").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    cut = "slice(all, r.pos + 1, int(r.tokens))"
+    ends = f"element_at(all, int(r.pos + 1)).line as start, element_at(all, int(r.pos + r.tokens)).end_line as end"
+    made = F.expr(f"transform(asks, r -> struct(r.pos as first, r.tokens as tokens, {ends}, array_join(transform({cut}, t -> t.said), '') as said))")
+    whole = files.join(asked, ["rev", "path"]).select("rev", "path", F.explode(made).alias("r")).select("rev", "path", "r.*")
+    # how many source lines a file has up to a line: both sorted together and counted off
+    lines = source_lines.select("rev", "path", "line").distinct().withColumn("kind", F.lit(0))
+    wanted = whole.select("rev", "path", F.explode(F.array(F.col("start") - 1, "end")).alias("line")).distinct().withColumn("kind", F.lit(1))
+    order = W.partitionBy("rev", "path").orderBy("line", "kind").rowsBetween(W.unboundedPreceding, 0)
+    upto = lines.unionByName(wanted).withColumn("n", F.sum(1 - F.col("kind")).over(order)).where("kind = 1").drop("kind")
+    before = upto.select("rev", "path", (F.col("line") + 1).alias("start"), F.col("n").alias("n0"))
+    counted = whole.join(upto.withColumnRenamed("line", "end"), ["rev", "path", "end"]).join(before, ["rev", "path", "start"])
+    return counted.select("rev", "path", F.col("first").alias("pos"), "tokens", "start", "end", (F.col("n") - F.col("n0")).cast("int").alias("lines"), "said")
 
 
 def clone_pairs(tokens: DataFrame, source_lines: DataFrame, size: int = CLONE_TOKENS, least_lines: int = CLONE_LINES) -> DataFrame:
@@ -80,24 +101,13 @@ def clone_pairs(tokens: DataFrame, source_lines: DataFrame, size: int = CLONE_TO
 
     tokens: rev, language, path, pos (from 0), text, line, end_line. Lines are the distinct source lines
     of the range, of the side that has fewer. Ids don't depend on positions."""
-    found = extents(tokens, size).withColumn("pair", F.struct("a_path", "a_pos", "b_path", "b_pos", "tokens"))
-    sides = _sides(found)
-    files = tokens.groupBy("rev", "path").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").cast("binary").alias("text"), "line", "end_line"))).alias("all"))
-    cut = sides.join(files, ["rev", "path"]).withColumn("own", F.slice("all", F.col("pos") + 1, F.col("tokens").cast("int"))).drop("all")
-    placed = cut.select(
-        "rev", "pair", "side", "path", F.col("own")[0]["line"].alias("start"), F.element_at("own", -1)["end_line"].alias("end"),
-        clone_id(F.col("pair.a_path"), F.col("pair.b_path"), F.transform("own", lambda t: t["text"])).alias("id"),
-    )
-    lines = source_lines.groupBy("rev", "path").agg(F.array_sort(F.collect_set("line")).alias("has"))
-    counted = placed.join(lines, ["rev", "path"], "left").withColumn("lines", F.size(F.filter(F.coalesce("has", F.array().cast("array<int>")), lambda x: x.between(F.col("start"), F.col("end")))))
-    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    joined = counted.groupBy("rev", "pair").agg(
-        F.min("id").alias("id"), F.max("id").alias("other_id"), pick("a", "start").alias("a_start"), pick("a", "end").alias("a_end"),
-        pick("b", "start").alias("b_start"), pick("b", "end").alias("b_end"), F.min("lines").alias("lines"),
-    )
-    return joined.where((F.col("id") == F.col("other_id")) & (F.col("lines") >= least_lines)).select(
-        "rev", "id", F.col("pair.a_path").alias("a_path"), "a_start", "a_end", F.col("pair.b_path").alias("b_path"), "b_start", "b_end",
-        F.col("pair.tokens").cast("int").alias("tokens"), "lines",
+    found = keep(extents(tokens, size).drop("language"), "extents")
+    known = keep(_ranges(found, tokens, source_lines), "ranges").where(F.col("lines") >= least_lines)
+    side = lambda s: known.select("rev", F.col("path").alias(f"{s}_path"), F.col("pos").alias(f"{s}_pos"), "tokens", *(F.col(c).alias(f"{s}_{c}") for c in ("start", "end", "lines", "said")))
+    both = found.join(side("a"), ["rev", "a_path", "a_pos", "tokens"]).join(side("b"), ["rev", "b_path", "b_pos", "tokens"]).where("a_said = b_said")
+    return both.select(
+        "rev", clone_id(F.col("a_path"), F.col("b_path"), F.col("a_said")).alias("id"), "a_path", "a_start", "a_end", "b_path", "b_start", "b_end",
+        F.col("tokens").cast("int").alias("tokens"), F.least("a_lines", "b_lines").alias("lines"),
     )
 
 

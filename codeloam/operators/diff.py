@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import note
 from ..schema import BUCKETS, CUTOFF
+from ..sources.scratch import keep
 
 _METRICS = ("name", "bucket", "line", "cc", "sloc", "mass")
 
@@ -82,9 +83,11 @@ def match_functions(before: DataFrame, after: DataFrame, keys: list[str]) -> Dat
     """before_id, after_id, phase of functions grouped by keys: by mapped line, then by signature, then in order.
 
     before: keys, fn_id, ord, line, cc, sloc, signature, mapped (null: gone); after: the same without mapped."""
+    before, after = keep(before, "before"), keep(after, "after")
     first = _pair(before.where("mapped is not null").withColumn("spot", F.col("mapped")), after.withColumn("spot", F.col("line")), [*keys, "spot"], "inner", 1)
+    first = keep(first, "by-line")
     before, after = _left(before, first, "before_id"), _left(after, first, "after_id")
-    second = _pair(before, after, [*keys, "signature"], "inner", 2)
+    second = keep(_pair(before, after, [*keys, "signature"], "inner", 2), "by-signature")
     third = _pair(_left(before, second, "before_id"), _left(after, second, "after_id"), keys, "full", 3)
     return first.unionByName(second).unionByName(third)
 
@@ -112,13 +115,13 @@ def function_deltas(base: DataFrame, head: DataFrame, touched: DataFrame, mapped
     base, head: path, fn_id, parent_id, depth, ord and the metrics. One row for each match: match_id,
     parent_match, depth, path, name, before, after (structs, one may be null), delta_mass, note, phase.
     Matches without any difference, in themselves or below, are left out."""
-    keep = ["path", "fn_id", "parent_id", "depth", "ord", *_METRICS]
+    columns = ["path", "fn_id", "parent_id", "depth", "ord", *_METRICS]
     sides = []
     for side in (base, head):
-        own = side.join(touched.select("path"), "path", "left_semi").select(*keep)
+        own = side.join(touched.select("path"), "path", "left_semi").select(*columns)
         sides.append(signatures(own, depths))
-    before = sides[0].join(mapped, ["path", "line"], "left")
-    after = sides[1]
+    before = keep(sides[0].join(mapped, ["path", "line"], "left"), "before-side")
+    after = keep(sides[1], "after-side")
     matches = None
     for depth in range(depths + 1):
         a, b = before.where(F.col("depth") == depth), after.where(F.col("depth") == depth)
@@ -133,6 +136,7 @@ def function_deltas(base: DataFrame, head: DataFrame, touched: DataFrame, mapped
         known_b = b.select(F.col("fn_id").alias("after_id"), F.col("up").alias("up_b"))
         level = found.join(known, "before_id", "left").join(known_b, "after_id", "left")
         level = level.select(F.concat_ws("/", F.coalesce(F.col("before_id").cast("string"), F.lit("")), F.coalesce(F.col("after_id").cast("string"), F.lit(""))).alias("match_id"), F.coalesce("up_a", "up_b").alias("parent_match"), F.lit(depth).alias("depth"), "before_id", "after_id", "phase")
+        level = keep(level, "matches")
         matches = level if matches is None else matches.unionByName(level)
         if depths == 0:
             break
@@ -142,7 +146,7 @@ def function_deltas(base: DataFrame, head: DataFrame, touched: DataFrame, mapped
         "match_id", "parent_match", "depth", F.coalesce("before_path", "after_path").alias("path"), F.coalesce("before.name", "after.name").alias("name"), "before", "after",
         (F.coalesce("after.mass", F.lit(0.0)) - F.coalesce("before.mass", F.lit(0.0))).alias("delta_mass"), note(F.col("before.cc"), F.col("after.cc")).alias("note"), "phase",
     )
-    return prune_unchanged(rows, depths)
+    return prune_unchanged(keep(rows, "changes"), depths)
 
 
 def prune_unchanged(rows: DataFrame, depths: int) -> DataFrame:

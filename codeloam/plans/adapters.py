@@ -63,8 +63,8 @@ def fn_id(added: int):
 
 
 def fn_number(key: str):
-    """A key as the number that the SQL gives; with 900 turns or more, several keys have the same."""
-    return (F.col(f"{key}.conv_id") * 1000 + F.col(f"{key}.turn") + F.col(f"{key}.added")).alias(key)
+    """A key as the text that the SQL gives; null where there is no function."""
+    return F.when(F.col(key).isNotNull(), F.concat_ws("/", *(F.col(f"{key}.{c}").cast("string") for c in ("conv_id", "turn", "added")))).alias(key)
 
 
 def functions_head(base: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ class Incomplete(ValueError):
 
 
 def require_complete(snapshot: S.Snapshot) -> None:
-    problems = [r.p for r in snapshot.skipped.select(F.concat(F.lit("skipped "), "path").alias("p")).unionByName(snapshot.warnings.select(F.concat(F.lit("warning: "), "warning").alias("p"))).distinct().orderBy("p").limit(50).collect()]
+    problems = [r.p for r in snapshot.skipped.select(F.concat(F.lit("skipped "), "path").alias("p")).unionByName(snapshot.warnings.select(F.concat(F.lit("warning: "), "warning").alias("p"))).distinct().orderBy("p").collect()]
     if problems:
         raise Incomplete("incomplete scan: " + "; ".join(problems))
 

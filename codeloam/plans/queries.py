@@ -69,7 +69,7 @@ def generated_marker(spark, sf_dir):
     return content.select("path", text.generated_marker(F.col("content"), paths.extension(F.col("path"))).alias("generated"))
 
 
-_LINES = "SELECT doc_id, lang, 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, CASE WHEN doc_id % 4 = 0 THEN 'tests' ELSE 'source' END AS bucket, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
+_LINES = "SELECT doc_id, lang, 'd' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(8, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS path, CASE WHEN doc_id % 4 = 0 THEN 'tests' ELSE 'source' END AS bucket, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
 _TOKENS = f"""lines AS ({_LINES}), words AS (SELECT path, lang, line, unnest(regexp_extract_all(l, '[^ \\t\\r\\n]+')) AS text, generate_subscripts(regexp_extract_all(l, '[^ \\t\\r\\n]+'), 1) AS k FROM lines),
  tokens AS (SELECT path, lang AS language, CAST(row_number() OVER (PARTITION BY path ORDER BY line, k) - 1 AS BIGINT) AS pos, text, line FROM words),
  src AS (SELECT path, bucket, line FROM lines WHERE regexp_matches(l, '\\S'))"""
@@ -103,7 +103,7 @@ def line_terminator_count(spark, sf_dir):
 
 
 _FN = """fn AS (SELECT 'c' || conv_id AS path, conv_id, turn, role AS name, turn + 1 AS line, 1 + len(regexp_extract_all(text, '[,;:?!]')) AS cc,
- len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS sloc, CASE WHEN conv_id % 4 = 0 THEN 'tests' ELSE 'source' END AS bucket, conv_id * 1000 + turn AS fn_id, turn AS ord FROM conversations),
+ len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS sloc, CASE WHEN conv_id % 4 = 0 THEN 'tests' ELSE 'source' END AS bucket, conv_id || '/' || turn || '/0' AS fn_id, turn AS ord FROM conversations),
  base AS (SELECT *, cc * sqrt(sloc) AS mass FROM fn)"""
 
 
@@ -133,12 +133,13 @@ def ordered_mass_fold(spark, sf_dir):
     return A.functions(spark, sf_dir).groupBy("bucket").agg(F.round(metrics.ordered_sum(F.col("mass"), F.col("path"), F.col("ord")), 6).alias("mass"))
 
 
-_GRAMS = f"""{_TOKENS}, k AS (SELECT path, language, pos, string_agg(text, ' ') OVER w AS gram, count(*) OVER w AS have, lag(text) OVER o AS pred, lead(text, 50) OVER o AS next
+_GRAMS = f"""{_TOKENS}, k AS (SELECT path, language, pos, md5(string_agg(text, ' ') OVER w) AS gram, count(*) OVER w AS have, lag(text) OVER o AS pred, lead(text, 50) OVER o AS next
  FROM tokens WINDOW o AS (PARTITION BY path ORDER BY pos), w AS (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)), g AS (SELECT * FROM k WHERE have = 50)"""
-_EDGES = f"""{_GRAMS}, many AS (SELECT language, gram FROM g GROUP BY language, gram HAVING count(*) > 1), s AS (SELECT g.* FROM g JOIN many USING (language, gram)),
- pairs AS (SELECT a.language, a.path AS a_path, a.pos AS a_pos, b.path AS b_path, b.pos - a.pos AS diagonal, a.pred AS ap, b.pred AS bp, a.next AS an, b.next AS bn FROM s a JOIN s b USING (language, gram) WHERE (a.path, a.pos) < (b.path, b.pos)),
- starts AS (SELECT *, row_number() OVER (PARTITION BY a_path, b_path, diagonal ORDER BY a_pos) AS rn FROM pairs WHERE ap IS NULL OR bp IS NULL OR ap <> bp),
- ends AS (SELECT *, row_number() OVER (PARTITION BY a_path, b_path, diagonal ORDER BY a_pos) AS rn FROM pairs WHERE an IS NULL OR bn IS NULL OR an <> bn),
+_EDGES = f"""{_GRAMS}, many AS (SELECT language, gram FROM g GROUP BY language, gram HAVING count(*) > 1), s AS (SELECT language, gram, path, pos, pred, next FROM g JOIN many USING (language, gram)),
+ starts AS (SELECT a.language, a.path AS a_path, a.pos AS a_pos, b.path AS b_path, b.pos - a.pos AS diagonal, row_number() OVER (PARTITION BY a.path, b.path, b.pos - a.pos ORDER BY a.pos) AS rn
+  FROM s a JOIN s b ON a.language = b.language AND a.gram = b.gram AND (a.path < b.path OR a.path = b.path AND a.pos < b.pos) AND (a.pred IS NULL OR b.pred IS NULL OR a.pred <> b.pred)),
+ ends AS (SELECT a.language, a.path AS a_path, a.pos AS a_pos, b.path AS b_path, b.pos - a.pos AS diagonal, row_number() OVER (PARTITION BY a.path, b.path, b.pos - a.pos ORDER BY a.pos) AS rn
+  FROM s a JOIN s b ON a.language = b.language AND a.gram = b.gram AND (a.path < b.path OR a.path = b.path AND a.pos < b.pos) AND (a.next IS NULL OR b.next IS NULL OR a.next <> b.next)),
  extents AS (SELECT st.language, st.a_path, st.a_pos, st.b_path, st.a_pos + st.diagonal AS b_pos, e.a_pos + 50 - st.a_pos AS n FROM starts st JOIN ends e USING (a_path, b_path, diagonal, rn)
   WHERE st.a_path <> st.b_path OR e.a_pos + 50 - st.a_pos <= st.diagonal)"""
 _PAIRS = f"""{_EDGES}, ranged AS (SELECT x.*, (SELECT line FROM tokens t WHERE t.path = x.a_path AND t.pos = x.a_pos) AS a_start, (SELECT line FROM tokens t WHERE t.path = x.a_path AND t.pos = x.a_pos + n - 1) AS a_end,
@@ -160,7 +161,9 @@ def gram_groups(spark, sf_dir):
     return sizes.groupBy("language", "size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
-@query(f"WITH {_EDGES} SELECT language, a_path, b_path, a_pos, diagonal FROM starts")
+@query(f"""WITH {_GRAMS}, many AS (SELECT language, gram FROM g GROUP BY language, gram HAVING count(*) > 1), s AS (SELECT language, gram, path, pos, pred FROM g JOIN many USING (language, gram))
+ SELECT a.language, a.path AS a_path, b.path AS b_path, a.pos AS a_pos, b.pos - a.pos AS diagonal FROM s a JOIN s b ON a.language = b.language AND a.gram = b.gram
+ AND (a.path < b.path OR a.path = b.path AND a.pos < b.pos) AND (a.pred IS NULL OR b.pred IS NULL OR a.pred <> b.pred)""")
 def left_maximal_pairs(spark, sf_dir):
     edges = clones._edges(clones.shared_windows(clones.windows(A.tokens(_docs(spark, sf_dir)))), "pred")
     return edges.select("language", "a_path", "b_path", F.col("a_pos").cast("long").alias("a_pos"), F.col("diagonal").cast("long").alias("diagonal"))
@@ -246,7 +249,7 @@ def line_mapping_asof(spark, sf_dir):
 
 
 _HEAD = f"""{_FN}, edited AS (SELECT path, conv_id, turn, name, line, CASE WHEN {A.EDIT_GROW} THEN cc + 11 ELSE cc END AS cc, sloc, CASE WHEN {A.EDIT_FLIP} THEN CASE bucket WHEN 'tests' THEN 'source' ELSE 'tests' END ELSE bucket END AS bucket, fn_id, ord FROM fn WHERE NOT ({A.EDIT_DROP})
- UNION ALL SELECT path, conv_id, turn, name, 90, 12, sloc, bucket, fn_id + 900, 90 FROM fn WHERE {A.EDIT_ADD}), head AS (SELECT *, cc * sqrt(sloc) AS mass FROM edited)"""
+ UNION ALL SELECT path, conv_id, turn, name, 90, 12, sloc, bucket, conv_id || '/' || turn || '/900', 90 FROM fn WHERE {A.EDIT_ADD}), head AS (SELECT *, cc * sqrt(sloc) AS mass FROM edited)"""
 _TOUCHED = "touched AS (SELECT DISTINCT path FROM base WHERE conv_id % 3 <> 0)"
 _MATCH = f"""{_HEAD}, {_MAPPED}, {_TOUCHED},
  b0 AS (SELECT base.*, m.mapped AS spot FROM base JOIN touched USING (path) LEFT JOIN mapped m ON m.path = base.path AND m.line = base.line), a0 AS (SELECT head.*, line AS spot FROM head JOIN touched USING (path)),
@@ -410,12 +413,12 @@ def trend_sparkline(spark, sf_dir):
     return trend.sparklines(_points(spark, sf_dir), "mass")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS src, (o_custkey * 7 + o_orderkey) % 97 AS dst, o_orderkey % 5 = 0 AS test_only, o_orderkey % 11 = 0 AS uncertain, ((o_custkey * 7 + o_orderkey) % 97) % 10 = 9 AS forced FROM orders WHERE o_orderkey % 40 = 1),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS src, (o_custkey * 7 + o_orderkey) % 97 AS dst, o_orderkey % 5 = 0 AS test_only, o_orderkey % 11 = 0 AS uncertain, ((o_custkey * 7 + o_orderkey) % 97) % 10 = 9 AS forced FROM orders),
  r AS (SELECT 0 AS node, 'source' AS bucket UNION SELECT e.dst, CASE WHEN e.forced THEN 'tests' WHEN e.uncertain THEN 'source' WHEN e.test_only THEN 'tests' ELSE r.bucket END FROM r JOIN e ON e.src = r.node),
  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 0), r2 AS (SELECT node, 'source' AS bucket FROM n WHERE node NOT IN (SELECT node FROM r) UNION SELECT e.dst, CASE WHEN e.forced THEN 'tests' WHEN e.uncertain THEN 'source' WHEN e.test_only THEN 'tests' ELSE r2.bucket END FROM r2 JOIN e ON e.src = r2.node)
  SELECT CAST(node AS BIGINT) AS node, min(bucket) AS bucket FROM (SELECT * FROM r UNION SELECT * FROM r2) GROUP BY node""")
 def ext_reachability(spark, sf_dir):
-    orders = A.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 1")
+    orders = A.table(spark, sf_dir, "orders")
     to = "(o_custkey * 7 + o_orderkey) % 97"
     edges = keep(orders.selectExpr("o_custkey % 97 as src", f"{to} as dst", "o_orderkey % 5 = 0 as test_only", "o_orderkey % 11 = 0 as uncertain", f"({to}) % 10 = 9 as forced").distinct(), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(spark.range(1)).distinct()

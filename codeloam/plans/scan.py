@@ -21,7 +21,9 @@ from ..sources import git as G
 from ..sources.scratch import keep
 
 #: Part of the cache key: a change of any analyser needs a new one.
-VERSION = "1"
+VERSION = "2"
+#: Dialects whose markup the analyser doesn't know.
+MARKUP = ("typescript:tsx", "typescript:jsx")
 
 _FN = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("ord", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("name", T.StringType()), ("bucket", T.StringType()), ("line", T.IntegerType()), ("cc", T.IntegerType()), ("sloc", T.IntegerType()))]))
 _TOKEN = T.ArrayType(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("line", T.IntegerType()), T.StructField("end_line", T.IntegerType())]))
@@ -59,7 +61,7 @@ def is_generated(content: bytes, dialect: str, truncated: bool = False) -> bool:
 
 def _analyse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from ..parse import go, python_, rust, typescript  # noqa: F401  they register themselves
-    from ..parse.common import ANALYSERS, flat, module_json
+    from ..parse.common import ANALYSERS, Result, flat, module_json
 
     for frame in frames:
         rows = []
@@ -73,6 +75,8 @@ def _analyse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row["warnings"] = [f"no analyser for {dialect}"]
             else:
                 r = run("", content)
+                if r.error and dialect in MARKUP:  # a file that can't be read whole, but needn't be wrong
+                    r = Result(warnings=[f"markup that isn't parsed: {r.error}"])
                 row |= {"warnings": [w.removeprefix(": ") for w in r.warnings], "error": r.error and r.error.removeprefix(": "), "git_lines": r.git_line_coordinates, "functions": flat(r.functions), "tokens": [{"text": t.text, "line": t.line, "end_line": t.end_line} for t in r.tokens], "lines": [{"line": a, "bucket": b} for a, b in r.source_lines], "modules": module_json(r.modules), "test_only": r.test_only}
             rows.append(row)
         yield pd.DataFrame(rows, columns=ANALYSIS.names)
@@ -145,7 +149,7 @@ def snapshot(everything: DataFrame, config, read, cache: str | None = None) -> S
     revisions = everything.select("rev").distinct()
     files = listing.join(_analysed(listing, read, cache), ["oid", "dialect"])
     ok = keep(files.where("status = 'ok'"), "files")
-    failed = [r.e for r in ok.where("error is not null").select(F.concat_ws(": ", "path", "error").alias("e")).orderBy("e").limit(20).collect()]
+    failed = [r.e for r in ok.where("error is not null").select(F.concat_ws(": ", "path", "error").alias("e")).orderBy("e").collect()]
     if failed:
         raise ValueError("; ".join(failed))
     ok, reached = _module_buckets(files, ok, everything)
@@ -165,9 +169,21 @@ def snapshot(everything: DataFrame, config, read, cache: str | None = None) -> S
     return Snapshot(paths_, fn, tokens, lines, pairs, covered, metrics.totals(revisions, fn, lines, covered), skipped, warnings)
 
 
+def pruned(excludes: list[str]):
+    """Whether a directory is never entered: by its name, or by a configured pattern for directories."""
+    known = [re.compile(paths.python_regex(p.removeprefix("./").rstrip("/"))) for p in excludes if p.endswith("/")]
+
+    def skip(directory: str) -> bool:
+        name = directory.rsplit("/", 1)[-1]
+        return name.startswith(".") or name in paths.SKIPPED_DIRECTORIES or any(k.match(directory) for k in known)
+
+    return skip
+
+
 def scan_directory(spark: SparkSession, root: str) -> Snapshot:
+    """The directory is read by the executors, so it must be at the same path on all of them."""
     config = C.of_directory(root)
-    listed = D.list_directory(spark, root, lambda d: (n := d.rsplit("/", 1)[-1]).startswith(".") or n in paths.SKIPPED_DIRECTORIES)
+    listed = D.list_directory(spark, root, pruned(config.excludes))
     return snapshot(listed, config, lambda rows: D.read_files(rows, root, MAX_BYTES))
 
 

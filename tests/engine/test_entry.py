@@ -3,6 +3,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -13,10 +15,11 @@ def names(folder):
     return done.stdout.split()
 
 
-def test_entry_stands_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"]])
+def test_entry_stands_without_the_corpus_operators(tmp_path, gone):
     whole = names(ROOT)
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     left = names(copy)
     assert "clone_pairs" in left and not any(n.startswith("op") or n == "pipeline" for n in left)
     assert set(left) <= set(whole)
