@@ -21,6 +21,11 @@ class Tokens:
         self.around: list[int] = []
         stack: list[int] = []
         for i, (kind, w) in enumerate(zip(self.kind, self.word)):
+            if kind == "close":
+                opener = stack.pop() if stack else -1
+                if opener < 0 or self.kind[opener] != "open":
+                    raise SyntaxError(f"unmatched markup in line {self.line(i)}")
+                self.partner[opener], self.partner[i] = i, opener
             closes = kind == "sign" and w in ")]}" or kind == "template" and w[0] == "}"
             if closes:
                 opener = stack.pop() if stack else -1
@@ -31,7 +36,7 @@ class Tokens:
                 if not (kind == "template" and w.endswith("${")):
                     self.partner[i] = opener
             self.around.append(stack[-1] if stack else -1)
-            if kind == "sign" and w in self.OPEN or kind == "template" and w.endswith("${"):
+            if kind == "open" or kind == "sign" and w in self.OPEN or kind == "template" and w.endswith("${"):
                 stack.append(i)
         if stack:
             raise SyntaxError(f"missing end of {self.word[stack[-1]][:10]!r} in line {self.line(stack[-1])}")

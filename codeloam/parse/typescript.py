@@ -15,54 +15,157 @@ _LEX = re.compile(
 )
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])+/[\w$]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(?:`|\$\{)", re.S)
+_TAG = re.compile(r"[^\W\d][\w$-]*(?:[.:][^\W\d][\w$-]*)*|\$[\w$-]*(?:\.[\w$-]+)*")
+_ATTRIBUTE = re.compile(r"[^\W\d][\w$-]*(?::[\w$-]+)?|\$[\w$-]*")
+_TYPE_ARGUMENTS = re.compile(r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_CHARACTERS = re.compile(r"[^<>{}]+")
+_END = re.compile(">")
+_ANY = re.compile(".", re.S)
+#: Dialects that may hold markup.
+MARKUP = ("typescript:tsx", "typescript:jsx", "typescript:js", "typescript:mjs", "typescript:cjs")
 #: Words behind which an operand starts, those that open a control head, and member modifiers.
 _BEFORE_OPERAND = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
 _HEADS = frozenset("if for while switch catch with".split())
 _MODIFIERS = frozenset("static public private protected readonly async override declare abstract accessor get set export default".split())
+_TYPE_PREFIXES = frozenset("keyof typeof readonly unique infer new abstract asserts".split())
 _BINARY = frozenset("&& || ??".split())
 
 
-def lex(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """Tokens and comments; a first line that starts with #! is a comment."""
-    out: list[tuple[str, int, int]] = []
-    comments: list[tuple[int, int]] = []
-    braces: list[bool] = []  # whether each open brace belongs to a template
+def lex(text: str, markup: bool = False) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """Tokens and comments; a first line that starts with #! is a comment. With markup, elements are tokens too: the
+    first and the last one of an outermost element are a pair of brackets, of kinds open and close."""
+    lexer = _Lexer(text, markup)
     at = 0
     if text.startswith("#!"):
         at = (line_ends(text, True) or [len(text)])[0]
-        comments.append((0, at))
-    while at < len(text):
-        c = text[at]
-        if c == "`" or c == "}" and braces and braces[-1]:
-            m = _TEMPLATE.match(text, at + 1)
-            if not m:
-                raise SyntaxError("unterminated template")
-            if c == "}":
-                braces.pop()
-            if m.group().endswith("${"):
-                braces.append(True)
-            out.append(("template", at, m.end()))
-            at = m.end()
-            continue
-        if c == "/" and text[at : at + 2] not in ("//", "/*") and not _operand_end(out, text):
-            m = _REGEX.match(text, at)
-            if m:
-                out.append(("regex", *m.span()))
+        lexer.comments.append((0, at))
+    lexer.code(at)
+    return lexer.out, lexer.comments
+
+
+class _Lexer:
+    def __init__(self, text: str, markup: bool):
+        self.text, self.markup = text, markup
+        self.out: list[tuple[str, int, int]] = []
+        self.comments: list[tuple[int, int]] = []
+        self.not_markup: set[int] = set()
+
+    def code(self, at: int, inner: bool = False) -> int:
+        """To the end of the text, or behind the brace that closes the one in front of at."""
+        text, out = self.text, self.out
+        braces: list[bool] = []  # whether each open brace belongs to a template
+        while at < len(text):
+            c = text[at]
+            if c == "`" or c == "}" and braces and braces[-1]:
+                m = _TEMPLATE.match(text, at + 1)
+                if not m:
+                    raise SyntaxError("unterminated template")
+                if c == "}":
+                    braces.pop()
+                if m.group().endswith("${"):
+                    braces.append(True)
+                out.append(("template", at, m.end()))
                 at = m.end()
                 continue
-        m = _LEX.match(text, at)
-        if not m or m.end() == at:
-            raise SyntaxError(f"unexpected {c!r}")
-        if m.lastgroup == "comment":
-            comments.append(m.span())
-        elif m.lastgroup != "blank":
+            if c == "/" and text[at : at + 2] not in ("//", "/*") and not _operand_end(out, text):
+                m = _REGEX.match(text, at)
+                if m:
+                    out.append(("regex", *m.span()))
+                    at = m.end()
+                    continue
+            if c == "<" and self.markup and at not in self.not_markup and not _operand_end(out, text):
+                kept = len(out), len(self.comments)
+                try:
+                    at = self.element(at, True)
+                    continue
+                except SyntaxError:  # type parameters
+                    del out[kept[0] :], self.comments[kept[1] :]
+                    self.not_markup.add(at)
+            m = _LEX.match(text, at)
+            if not m or m.end() == at:
+                raise SyntaxError(f"unexpected {c!r}")
+            if m.lastgroup == "comment":
+                self.comments.append(m.span())
+            elif m.lastgroup != "blank":
+                out.append((m.lastgroup, *m.span()))
+                if c == "{":
+                    braces.append(False)
+                elif c == "}" and braces:
+                    braces.pop()
+                elif c == "}" and inner:
+                    return m.end()
+            at = m.end()
+        if inner:
+            raise SyntaxError("missing end of '{'")
+        return at
+
+    def blank(self, at: int) -> int:
+        """Behind blanks and comments inside a tag."""
+        while (m := _LEX.match(self.text, at)) and m.lastgroup in ("blank", "comment"):
+            if m.lastgroup == "comment":
+                self.comments.append(m.span())
+            at = m.end()
+        return at
+
+    def mark(self, at: int, pattern: re.Pattern, kind: str = "markup") -> int:
+        m = pattern.match(self.text, at)
+        if not m:
+            raise SyntaxError(f"unexpected {self.text[at : at + 1]!r} in markup")
+        self.out.append((kind, *m.span()))
+        return m.end()
+
+    def braced(self, at: int) -> int:
+        self.out.append(("sign", at, at + 1))
+        return self.code(at + 1, True)
+
+    def element(self, at: int, outermost: bool = False) -> int:
+        """An element or fragment from its first < on."""
+        text = self.text
+        self.out.append(("open" if outermost else "markup", at, at + 1))
+        at = self.blank(at + 1)
+        name = ""
+        if text[at : at + 1] != ">":
+            begin = at
+            at = self.blank(self.mark(at, _TAG))
+            name = text[begin : self.out[-1][2]]
+            if text[at : at + 1] == "<":
+                at = self.blank(self.mark(at, _TYPE_ARGUMENTS))
+            while text[at : at + 1] not in ("/", ">"):
+                if text[at : at + 1] == "{":
+                    at = self.blank(self.braced(at))
+                    continue
+                at = self.blank(self.mark(at, _ATTRIBUTE))
+                if text[at : at + 1] == "=":
+                    at = self.blank(self.mark(at, _ANY))
+                    c = text[at : at + 1]
+                    at = self.blank(self.braced(at) if c == "{" else self.element(at) if c == "<" else self.mark(at, _QUOTED))
+            if text[at] == "/":
+                at = self.blank(self.mark(at, _ANY))
+                return self.mark(at, _END, "close" if outermost else "markup")
+        at = self.mark(at, _END)
+        while at < len(text):
+            c = text[at]
             if c == "{":
-                braces.append(False)
-            elif c == "}" and braces:
-                braces.pop()
-            out.append((m.lastgroup, *m.span()))
-        at = m.end()
-    return out, comments
+                at = self.braced(at)
+            elif c != "<":
+                m = _CHARACTERS.match(text, at)
+                if not m:
+                    raise SyntaxError(f"unexpected {c!r} in markup")
+                if m.group().strip():
+                    self.out.append(("markup", *m.span()))
+                at = m.end()
+            elif text[(after := self.blank(at + 1)) : after + 1] != "/":
+                at = self.element(at)
+            else:
+                at = self.blank(self.mark(self.blank(self.mark(at, _ANY)), _ANY))
+                if name:
+                    begin = at
+                    at = self.blank(self.mark(at, _TAG))
+                    if text[begin : self.out[-1][2]] != name:
+                        raise SyntaxError(f"missing end of <{name}>")
+                return self.mark(at, _END, "close" if outermost else "markup")
+        raise SyntaxError(f"missing end of <{name}>")
 
 
 def _operand_end(out: list, text: str) -> bool:
@@ -74,7 +177,7 @@ def _operand_end(out: list, text: str) -> bool:
         return w not in _BEFORE_OPERAND
     if kind == "template":
         return w.endswith("`")
-    return kind in ("string", "number", "regex") or w in (")", "]", "}")
+    return kind in ("string", "number", "regex", "close") or w in (")", "]", "}")
 
 
 def _join(owner: str | None, name: str) -> str:
@@ -86,6 +189,47 @@ class _Walk:
 
     def __init__(self, t: Tokens):
         self.t, self.found, self.types = t, [], []
+        for i in range(len(t)):  # type parameters in front of parameters are brackets
+            if t.at(i) == "<" and not self.operand_end(i - 1):
+                stop = self.angles(i, len(t))
+                if t.at(stop) == "(":
+                    t.partner[i], t.partner[stop - 1] = stop - 1, i
+
+    def angles(self, i: int, end: int) -> int:
+        """Behind the > that closes the < at i; i where none does."""
+        t, level, j = self.t, 0, i
+        while j < end and t.at(j) not in (";", ")", "]", "}"):
+            level += (t.at(j) == "<") - (t.at(j) == ">")
+            j = j + 1 if t.at(j) == "<" else t.next(j)
+            if not level:
+                return j
+        return i
+
+    def type_end(self, i: int, end: int) -> int:
+        """Behind a type that starts at i and stands inside an expression."""
+        t, operand = self.t, False
+        while i < end:
+            w = t.at(i)
+            if w == "<":
+                stop = self.angles(i, end)
+                if stop == i:
+                    return i
+                i = stop
+            elif not operand and (w in ("|", "&", "-", "=>") or w in _TYPE_PREFIXES and t.kind[i + 1 : i + 2] and t.at(i + 1) not in (")", "]", "}", ",", ";", ".", "[", "|", "&")):
+                i += 1
+            elif not operand:
+                if t.kind[i] == "sign" and w not in ("(", "[", "{"):
+                    return i
+                i, operand = t.next(i), True
+                if w == "(" and t.at(i) == "=>":
+                    i, operand = i + 1, False
+            elif w in (".", "|", "&"):
+                i, operand = i + 1, False
+            elif w == "[" and not t.breaks(i):
+                i = t.next(i)
+            else:
+                return i
+        return i
 
     def operand_end(self, i: int) -> bool:
         if i < 0:
@@ -93,7 +237,7 @@ class _Walk:
         t = self.t
         if t.kind[i] == "word":
             return t.word[i] not in _BEFORE_OPERAND and t.word[i] not in _HEADS
-        return t.kind[i] in ("string", "number", "regex", "template") or t.at(i) in (")", "]", "}")
+        return t.kind[i] in ("string", "number", "regex", "template", "close") or t.at(i) in (")", "]", "}")
 
     def statement_end(self, i: int, end: int) -> int:
         """Behind the last token of an expression statement: at a semicolon, or where a line end must end it."""
@@ -331,6 +475,14 @@ class _Walk:
                 return k
         return -1
 
+    def markup(self, opener: int, hint: str | None) -> None:
+        """An element: the expressions in its braces."""
+        t, i = self.t, opener + 1
+        while i < t.partner[opener]:
+            if t.at(i) == "{":
+                self.expression(i + 1, t.partner[i], hint)
+            i = t.next(i)
+
     def expression(self, i: int, end: int, hint: str | None) -> None:
         """One expression; its outermost function, class or literal takes the hint."""
         t, first = self.t, i
@@ -353,7 +505,14 @@ class _Walk:
                         self.expression(body, end, None)
                     i = last + 1
                     continue
-            if w == "function" or w == "async" and t.at(i + 1) == "function":
+            if w in ("as", "satisfies") and not fresh and not t.breaks(i) and t.at(i - 1) not in (".", "?."):
+                stop = max(self.type_end(i + 1, end), i + 1)
+                self.types.append((i, stop))
+                i = stop
+            elif t.kind[i] == "open":
+                self.markup(i, hint)
+                i = t.next(i)
+            elif w == "function" or w == "async" and t.at(i + 1) == "function":
                 i = self.function(i, end, hint)
             elif w == "class" and fresh:
                 i = self.class_(i, end, hint)
@@ -422,11 +581,11 @@ def _closes_do(t: Tokens, i: int) -> bool:
 
 
 @analyser("typescript")
-def analyse(path: str, content: bytes) -> Result:
-    """Any syntax error that this parser sees is an error of the whole scan. JSX isn't parsed."""
+def analyse(path: str, content: bytes, markup: bool = False) -> Result:
+    """Any syntax error that this parser sees is an error of the whole scan."""
     try:
         text = content.decode("utf-8").removeprefix("\ufeff")
-        lexed, comments = lex(text)
+        lexed, comments = lex(text, markup)
         starts = [0, *line_ends(text, True)]
         t = Tokens(text, lexed, starts)
         walk = _Walk(t)
@@ -443,3 +602,12 @@ def analyse(path: str, content: bytes) -> Result:
     result = Result(functions=top, git_line_coordinates=text.count("\n") == ends, source_lines=[(line, "source") for line, _, _ in code])
     result.tokens = [Token(w.encode(), t.line(i), t.end_line(i)) for i, w in enumerate(t.word)]
     return result
+
+
+def _analyse_markup(path: str, content: bytes) -> Result:
+    """The same for dialects in which an operand that starts with < is an element."""
+    return analyse(path, content, True)
+
+
+for _dialect in MARKUP:
+    analyser(_dialect)(_analyse_markup)

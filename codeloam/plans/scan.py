@@ -21,8 +21,8 @@ from ..sources import git as G
 from ..sources.scratch import keep
 
 #: Part of the cache key: a change of any analyser needs a new one.
-VERSION = "2"
-#: Dialects whose markup the analyser doesn't know.
+VERSION = "3"
+#: Dialects whose files may use markup that the analyser can't read.
 MARKUP = ("typescript:tsx", "typescript:jsx")
 
 _FN = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("ord", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("name", T.StringType()), ("bucket", T.StringType()), ("line", T.IntegerType()), ("cc", T.IntegerType()), ("sloc", T.IntegerType()))]))
@@ -71,12 +71,12 @@ def _analyse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row["status"] = "generated"
             elif size > MAX_BYTES:
                 row["status"] = "skipped"
-            elif (run := ANALYSERS.get(dialect.split(":")[0])) is None:
+            elif (run := ANALYSERS.get(dialect) or ANALYSERS.get(dialect.split(":")[0])) is None:
                 row["warnings"] = [f"no analyser for {dialect}"]
             else:
                 r = run("", content)
                 if r.error and dialect in MARKUP:  # a file that can't be read whole, but needn't be wrong
-                    r = Result(warnings=[f"markup that isn't parsed: {r.error}"])
+                    r = Result(warnings=[f"markup that can't be read: {r.error}"])
                 row |= {"warnings": [w.removeprefix(": ") for w in r.warnings], "error": r.error and r.error.removeprefix(": "), "git_lines": r.git_line_coordinates, "functions": flat(r.functions), "tokens": [{"text": t.text, "line": t.line, "end_line": t.end_line} for t in r.tokens], "lines": [{"line": a, "bucket": b} for a, b in r.source_lines], "modules": module_json(r.modules), "test_only": r.test_only}
             rows.append(row)
         yield pd.DataFrame(rows, columns=ANALYSIS.names)

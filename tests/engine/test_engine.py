@@ -270,10 +270,52 @@ def test_a_stream_of_files_fills_the_cache(spark, tmp_path):
     assert sorted((r.oid, r.functions[0].name) for r in kept) == [("1", "first"), ("3", "f")]
 
 
-def test_markup_that_isnt_parsed_doesnt_stop_a_scan(spark):
-    rows = [("r", "page.tsx", "1", 60, b"const p = () => <p>don't</p>;\n"), ("r", "a.go", "2", len(GO), GO.encode())]
+MARKUP = """export const Menu = ({entries}: {entries: string[]}) => {
+  const pick = <T,>(x: T) => x;
+  return (
+    <nav className="a" {...rest}>
+      <h1>Don't panic // no comment</h1>
+      {/* gone */}
+      {entries.map(e => <li key={e} onClick={() => e && go(e)}>{e ? <b>{e}</b> : <>none</>}</li>)}
+      {entries.length > 0 && <Form.Row<string> render={function () { return <i/>; }} />}
+    </nav>
+  );
+};
+function After() { if (a < b) { return <p>it's</p> } return a < c }
+const last = () => <p>don't</p>
+"""
+
+
+def test_markup():
+    r = typescript.analyse("", MARKUP.encode(), True)
+    assert r.error is None
+    assert [(f["name"], f["depth"], f["line"], f["cc"]) for f in flat(r.functions)] == [
+        ("Menu", 0, 1, 4), ("pick", 1, 2, 1), ("cb:entries.map", 1, 7, 3), ("(anonymous)", 2, 7, 2), ("(anonymous)", 1, 8, 1), ("After", 0, 12, 2), ("last", 0, 13, 1),
+    ]
+    texts = [t.text for t in r.tokens]
+    assert b"Don't panic // no comment" in texts and b"gone" not in b" ".join(texts)
+    assert typescript.analyse("", b"const f = () => <p>{a</p>;", True).error and typescript.analyse("", b"const f = () => <p></q>;", True).error
+
+
+@pytest.mark.parametrize("markup", [False, True])
+def test_type_parameters_and_asserted_types(markup):
+    source = """const f = <T,>(x: T) => x;
+const g = x as unknown as <T>(x: T) => T;
+const k = <T, U extends {a: 1}>(a: T, b: U): T => { if (a) return a; };
+const m = (x as Box<Item>).map(y => y);
+type F = <T>(x: T) => T;
+let n = as.map(v => v);
+function o(a) { return a as B ? 1 : 2; }
+"""
+    r = typescript.analyse("", source.encode(), markup)
+    assert [(f.name, f.line, f.cc) for f in r.functions] == [("f", 1, 1), ("k", 3, 2), ("m.cb:(xasBox<Item>).map", 4, 1), ("n.cb:as.map", 6, 1), ("o", 7, 2)]
+
+
+def test_markup_in_a_scan(spark):
+    """Markup is read by its dialect; what can't be read is a warning there, and the rest of the scan stays."""
+    rows = [("r", "page.tsx", "1", 60, b"const p = () => <p>don't</p>;\n"), ("r", "bad.tsx", "2", 60, b"const p = () => <p>{a</p>;\n"), ("r", "a.go", "3", len(GO), GO.encode())]
     shot = scan.scan_files(spark, spark.createDataFrame(rows, "rev string, path string, oid string, size long, content binary"))
-    assert [r.name for r in shot.functions.collect()] == ["first"] and "page.tsx" in shot.warnings.collect()[0].warning
+    assert sorted(r.name for r in shot.functions.collect()) == ["first", "p"] and [r.warning.split(":")[0] for r in shot.warnings.collect()] == ["bad.tsx"]
 
 
 def test_configured_directories_are_never_entered(spark, tmp_path):
