@@ -187,13 +187,15 @@ def _join(owner: str | None, name: str) -> str:
 class _Walk:
     """Finds functions with their names. A hint is the name that the next function in its place takes."""
 
-    def __init__(self, t: Tokens):
+    def __init__(self, t: Tokens, markup: bool = False):
         self.t, self.found, self.types = t, [], []
         for i in range(len(t)):  # type parameters in front of parameters are brackets
             if t.at(i) == "<" and not self.operand_end(i - 1):
                 stop = self.angles(i, len(t))
                 if t.at(stop) == "(":
                     t.partner[i], t.partner[stop - 1] = stop - 1, i
+                elif markup:  # neither an element nor type parameters
+                    raise SyntaxError(f"unexpected '<' in line {t.line(i)}")
 
     def angles(self, i: int, end: int) -> int:
         """Behind the > that closes the < at i; i where none does."""
@@ -588,7 +590,7 @@ def analyse(path: str, content: bytes, markup: bool = False) -> Result:
         lexed, comments = lex(text, markup)
         starts = [0, *line_ends(text, True)]
         t = Tokens(text, lexed, starts)
-        walk = _Walk(t)
+        walk = _Walk(t, markup)
         walk.block(0, len(t), None)
     except (SyntaxError, UnicodeDecodeError, KeyError, IndexError, RecursionError) as error:
         return Result(error=f"{path}: invalid script: {error}")
