@@ -11,6 +11,8 @@ import warnings
 from .common import Function, Result, Token, analyser, blank_spans, by_bucket, sloc
 
 _PREFIX = re.compile(r"[A-Za-z]*")
+#: A print statement by itself on one line.
+_PRINT = re.compile(r"\s*print\b(?!\s*(?:[=(.,\[:]|[-+*/%&|^]?=))[^\\]*$")
 
 
 class _Source:
@@ -147,8 +149,68 @@ def _strings(text: str, line: int) -> list[Token]:
     return [*out, Token(quote.encode(), after, after)]
 
 
-def _tokens(source: _Source, docs: list[tuple[int, int]]) -> tuple[list[Token], list[tuple[int, int]]]:
-    """Tokens without comments and docstrings, with marks around each indented block; spans of comments."""
+def _loose(text: str, line: int) -> list[Token]:
+    """The tokens of one line by itself."""
+    out: list[Token] = []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text.strip()).readline):
+            if t.type == tokenize.STRING:
+                out += _strings(t.string, line)
+            elif t.string.strip() and t.type != tokenize.COMMENT:
+                out.append(Token(t.string.encode(), line, line))
+    except (SyntaxError, tokenize.TokenError):
+        pass
+    return out
+
+
+def _mended(text: str) -> tuple[ast.Module, str, dict[int, str]]:
+    """The tree of text, the text of the same length that it belongs to, and the lines that gave way in it: a line
+    with an error becomes an empty head of a block, a constant, or at last blank. Print statements go at once. After
+    many errors, fewer in a long text, more and more lines go at a time: attempts grow with the logarithm of the lines."""
+    lines, damaged = text.split("\n"), {}
+    patience = max(16, min(256, 4_000_000 // (len(text) + 1)))
+    tries: dict[int, int] = {}
+    attempts = 0
+    while True:
+        mended = "\n".join(lines)
+        try:
+            return ast.parse(mended), mended, damaged
+        except SyntaxError as error:
+            if error.lineno is None:
+                raise
+            header = re.search(r"expected an indented block after .* on line (\d+)", error.msg or "")
+            at = min(int(header[1]) if header else error.lineno, len(lines)) - 1
+            while at > 0 and not lines[at].strip():
+                at -= 1
+            if "'print'" in (error.msg or "") and at not in tries:
+                for k, line in enumerate(lines):
+                    if _PRINT.match(line):
+                        damaged.setdefault(k + 1, line)
+                        indent = line[: len(line) - len(line.lstrip())]
+                        lines[k] = (indent + "0").ljust(len(line))
+                tries[at] = 2
+                continue
+            attempts += 1
+            run = 1 << min(attempts // patience, 40)
+            for k in range(at, min(at + run, len(lines))):
+                line = lines[k]
+                if k > at and not line.strip():
+                    continue
+                if not line.strip() and tries.get(k, 0) > 2:
+                    raise
+                damaged.setdefault(k + 1, line)
+                indent = line[: len(line) - len(line.lstrip())]
+                head = "except 0:" if line.lstrip().startswith("except") else "with 0:"
+                fits = line.rstrip().endswith(":") and not header and len(line.strip()) >= len(head)
+                stage = max(tries.get(k, 0), 0 if fits else 1) if run == 1 else 2
+                lines[k] = ((indent + (head, "0", "")[min(stage, 2)]).ljust(len(line)))[: len(line)]
+                tries[k] = stage + 1
+
+
+def _tokens(source: _Source, docs: list[tuple[int, int]], damaged: dict[int, str]) -> tuple[list[Token], list[tuple[int, int]]]:
+    """Tokens without comments and docstrings, with marks around each indented block; spans of comments. Of damaged
+    lines the tokens up to the place where they can't be read."""
+    pending = sorted(damaged, reverse=True)
     out: list[Token] = []
     comments: list[tuple[int, int]] = []
     opened: list[int] = []
@@ -167,25 +229,35 @@ def _tokens(source: _Source, docs: list[tuple[int, int]]) -> tuple[list[Token],
                 opened = [o + (o > start) for o in opened]
         elif t.type in (tokenize.NEWLINE, tokenize.NL, tokenize.ENDMARKER) or any(x <= a < y for x, y in docs):
             continue
-        elif t.type == tokenize.STRING:
+        while pending and pending[-1] <= t.start[0]:
+            out += _loose(damaged[pending[-1]], pending.pop())
+        if t.type in (tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT) or t.start[0] in damaged:
+            continue
+        if t.type == tokenize.STRING:
             out += _strings(t.string, t.start[0])
         elif t.string.strip():
             out.append(Token(t.string.encode(), t.start[0], t.end[0]))
+    for line in reversed(pending):
+        out += _loose(damaged[line], line)
     return out, comments
 
 
 @analyser("python")
 def analyse(path: str, content: bytes) -> Result:
-    """A syntax error is a warning; then only the lines are counted."""
+    """A syntax error is a warning: the lines that hold it give way and the rest is analysed. Where nothing can be
+    read, as with a null byte, only the lines are counted."""
     text = _decode(content)
-    source, result = _Source(text), Result(git_line_coordinates=content.replace(b"\r\n", b"\n").count(b"\r") == 0)
-    walk = _Walk(source)
+    result = Result(git_line_coordinates=content.replace(b"\r\n", b"\n").count(b"\r") == 0)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
+            tree, mended, damaged = _mended(text)
+        source = _Source(mended)
+        walk = _Walk(source)
         walk.body(tree.body, None, [])
-        result.tokens, comments = _tokens(source, walk.docs)
+        result.tokens, comments = _tokens(source, walk.docs, damaged)
+        if damaged:
+            result.warnings.append(f"{path}: syntax error in line {min(damaged)}; the rest is analysed")
     except (SyntaxError, ValueError, RecursionError, tokenize.TokenError, IndentationError) as error:
         result.warnings.append(f"{path}: {type(error).__name__}: syntax error")
         result.source_lines = by_bucket(text, [])

@@ -270,6 +270,20 @@ def test_a_stream_of_files_fills_the_cache(spark, tmp_path):
     assert sorted((r.oid, r.functions[0].name) for r in kept) == [("1", "first"), ("3", "f")]
 
 
+@pytest.mark.parametrize("source, functions", [
+    ("def a(x):\n    if x:\n        return 1\n\ndef b(:\n    return 2\n\ndef c():\n    y = = 3\n    return [i for i in y if i]\n", [("a", 1, 2, 3), ("c", 8, 3, 3)]),
+    ("def a():\n    print 'x'\n    try:\n        f()\n    except E, e:\n        pass\nclass C:\n    def m(self):\n        g(1,\n\n    def n(self): return 1\n", [("a", 1, 2, 6), ("C.m", 8, 1, 2), ("C.n", 11, 1, 1)]),
+    ("def a():\ndef b():\n    return 1\n", [("b", 2, 1, 2)]),
+    ("def a():\n    '''open\n    return 1\ndef b():\n  return 2\n", [("a", 1, 1, 3), ("b", 4, 1, 2)]),
+    ("def f(x):\n    print x\n" * 300 + "def g():\n  )\n  (\n", [("f", 2 * i + 1, 1, 2) for i in range(300)] + [("g", 601, 1, 3)]),
+])
+def test_python_is_read_around_its_syntax_errors(source, functions):
+    r = python_.analyse("", source.encode())
+    assert [(f.name, f.line, f.cc, f.sloc) for f in r.functions] == functions and r.error is None
+    assert len(r.warnings) == 1 and [t.line for t in r.tokens] == sorted(t.line for t in r.tokens)
+    assert len(r.source_lines) == sum(bool(line.strip()) for line in source.split("\n"))
+
+
 MARKUP = """export const Menu = ({entries}: {entries: string[]}) => {
   const pick = <T,>(x: T) => x;
   return (
