@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -53,6 +54,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what earlier steps left behind. Spark removes shuffle files and broadcasts, on all machines, only once
+    the driver's JVM has collected their handles, and that waits until its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch: Spark's own limit, 64 MB, costs each task's JVM and Python several times that.
 BATCH, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 

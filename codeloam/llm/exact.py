@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise, numbered, unused, without
+from .common import mapped, materialise, numbered, tidy, unused, without
 
 #: Slots of a bucket, and moves before a filter counts as full.
 SLOTS, MOVES = 4, 64
@@ -169,6 +169,7 @@ def groups(rows: DataFrame, id_type: str) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that mark_duplicates doesn't keep; all columns, whatever their names."""
+    tidy(docs.sparkSession)
     key = unused(docs, "__row")
     rows = numbered(docs, "exact-rows", key)
     marks = mark_duplicates(rows.select(F.col(key).alias("row_key"), "doc_id", "text"))

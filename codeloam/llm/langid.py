@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _LETTER, _classes
-from .common import mapped
+from .common import mapped, tidy
 
 #: Feature buckets; languages that a model may have; labelled documents and words of each that it may be fitted on, and
 #: bytes of a word from which it isn't learned from.
@@ -295,6 +295,7 @@ def train(docs: DataFrame) -> Model | None:
     """Fit on at most SAMPLE_DOCS labelled documents, the first by the hash of their ids, in equal parts of
     each language; of each at most SAMPLE_WORDS words leave the tasks. None without a label; ValueError with more than
     LANGUAGES labels, as a model of so many is not of languages."""
+    tidy(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:

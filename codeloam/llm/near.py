@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, components, fits, mapped, materialise, numbered, unused, without
+from .common import SENT, components, fits, mapped, materialise, numbered, tidy, unused, without
 from .simhash import Union, _hashes, _majority, links, near_groups
 
 #: Words in a shingle; lanes of the SimHash; bits of one lane within which the trees search; bits of all lanes beyond
@@ -274,6 +274,7 @@ def near_links(nodes: DataFrame, fps: DataFrame, texts: DataFrame, k: int) -> Da
     several = materialise(posts.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("h"), "near-shingles")
     places = materialise(posts.join(several, "h"), "near-posts")
     for k_round in range(ROUNDS):
+        tidy(nodes.sparkSession)
         own = rooted(found, f"near-cc{k_round}")
         moved = materialise(own.where("root != node").select("node", "root"), "near-moved")
         placed = places.select("h", "node").join(F.broadcast(moved) if fits(moved, 16) else moved, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -293,6 +294,7 @@ def near_links(nodes: DataFrame, fps: DataFrame, texts: DataFrame, k: int) -> Da
     crowds = crowded(places, known)
     found.append(tiled(crowds, texts, k))
 
+    tidy(nodes.sparkSession)
     moved = materialise(rooted(found, "near-last-cc").where("root != node").select("node", "root"), "near-moved")
     left = places.join(F.broadcast(moved) if fits(moved, 16) else moved, "node", "left")
     left = left.join(crowds.select("node", "crowd"), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"), "crowd")
@@ -311,6 +313,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts link if the exact Jaccard similarity of their sets of five-word shingles is 0.8 or more (null: empty; texts
     without a word are copies of each other, a shorter text is one shingle). All columns stay, whatever their names."""
+    tidy(docs.sparkSession)
     key = unused(docs, "__row")
     rows = numbered(docs, "near-rows", key)
     texts = rows.select(F.col(key).alias("row_key"), "doc_id", "text")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import mapped, materialise
+from .common import mapped, materialise, tidy
 
 #: Pieces in a shard on average; islands, epochs, parents and generations of the search.
 SHARD_PIECES, ISLANDS, EPOCHS, PARENTS, GENERATIONS = 32_768, 3, 3, 6, 60
@@ -280,5 +280,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    tidy(docs.sparkSession)
     pieces = materialise(cut_pieces(docs, vocabulary, capacity).withColumn("row_key", F.monotonically_increasing_id()), "pieces")
     return pieces.join(pack(pieces, capacity), "row_key").drop("row_key")
