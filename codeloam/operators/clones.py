@@ -1,25 +1,22 @@
-"""Maximal exact-token clone pairs as joins and windows.
+"""Maximal exact-token clone pairs.
 
-A window of tokens is known by a 128-bit hash built by doubling: the hash of 2k tokens is the hash of two
-hashes of k, read ahead with lead() over one sort of each file. Equal windows meet in an equi-join. A run
-of matches on one diagonal (file, file, distance) starts where the tokens before differ and ends where the
-tokens behind differ; the k-th start belongs to the k-th end, so extents need no search. The ids of both
-sides, SHA-256 over the tokens themselves, must agree: no hash collision becomes a pair.
+matches finds them from files with their tokens; windows() gives all hashed windows of a table of tokens. A window of
+tokens is known by a 128-bit hash built by doubling: the hash of 2k tokens is the hash of two hashes of k, read ahead with
+lead() over one sort of each file. A run of matches on one diagonal (file, file, distance) starts where the tokens before
+differ and ends where the tokens behind differ; an end follows its start on the diagonal, so extents need no search.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import clone_id, prefixed
 from ..schema import CLONE_LINES, CLONE_TOKENS
-from ..sources.scratch import keep
+from . import matches
 
 _FILE = ["rev", "language", "path"]
-#: Positions of a file whose ranges are cut out together.
-SLAB = 1 << 12
+PAIR = ["a_path", "a_start", "a_end", "b_path", "b_start", "b_end", "tokens", "lines"]
 
 
 def windows(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
@@ -40,60 +37,20 @@ def windows(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
     return one.where("last is not null").select(*_FILE, "pos", F.col("a").alias("gram_a"), F.col("b").alias("gram_b"), "pred", "next")
 
 
-def shared_windows(grams: DataFrame) -> DataFrame:
-    """Only windows that occur twice: the others leave before the join."""
-    key = ["rev", "language", "gram_a", "gram_b"]
-    twice = grams.groupBy(*key).count().where("count > 1").select(*key)
-    return grams.join(twice, key, "left_semi")
-
-
-def _differ(x: Column, y: Column) -> Column:
-    """Different neighbours, or a file's edge on either side."""
-    return x["a"].isNull() | y["a"].isNull() | (x["a"] != y["a"]) | (x["b"] != y["b"])
-
-
-def _edges(grams: DataFrame, side: str) -> DataFrame:
-    key = ["rev", "language", "gram_a", "gram_b"]
-    left = grams.select(*key, F.col("path").alias("a_path"), F.col("pos").alias("a_pos"), F.col(side).alias("a_side"))
-    right = grams.select(*key, F.col("path").alias("b_path"), F.col("pos").alias("b_pos"), F.col(side).alias("b_side"))
-    ordered = (F.col("a_path") < F.col("b_path")) | ((F.col("a_path") == F.col("b_path")) & (F.col("a_pos") < F.col("b_pos")))
-    return left.join(right, key).where(ordered & _differ(F.col("a_side"), F.col("b_side"))).select("rev", "language", "a_path", "b_path", "a_pos", (F.col("b_pos") - F.col("a_pos")).alias("diagonal"))
+def token_files(tokens: DataFrame, source_lines: DataFrame | None = None) -> DataFrame:
+    """rev, language, path, tokens, source: a row a file, as the codes that matches reads."""
+    codes = F.struct("pos", F.xxhash64(F.col("text").cast("binary")).alias("a"), F.xxhash64(F.lit(7).cast("long"), F.col("text").cast("binary")).alias("b"), "line", "end_line")
+    files = tokens.groupBy(*_FILE).agg(F.array_sort(F.collect_list(codes)).alias("tokens"))
+    none = F.array().cast("array<int>")
+    if source_lines is None:
+        return files.withColumn("source", none)
+    lines = source_lines.groupBy("rev", "path").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("source"))
+    return files.join(lines, ["rev", "path"], "left").withColumn("source", F.coalesce("source", none))
 
 
 def extents(tokens: DataFrame, size: int = CLONE_TOKENS) -> DataFrame:
-    """rev, language, a_path, a_pos, b_path, b_pos, tokens of all maximal pairs that don't overlap themselves."""
-    grams = keep(shared_windows(windows(tokens, size)), "grams")
-    run = ["rev", "language", "a_path", "b_path", "diagonal"]
-    rank = F.row_number().over(W.partitionBy(*run).orderBy("a_pos"))
-    starts = _edges(grams, "pred").withColumn("rank", rank)
-    ends = _edges(grams, "next").withColumn("rank", rank).withColumnRenamed("a_pos", "a_end")
-    both = starts.join(ends, [*run, "rank"])
-    found = both.select("rev", "language", "a_path", "a_pos", "b_path", (F.col("a_pos") + F.col("diagonal")).alias("b_pos"), (F.col("a_end") + size - F.col("a_pos")).alias("tokens"))
-    return found.where("a_path != b_path or a_pos + tokens <= b_pos")
-
-
-def _ranges(found: DataFrame, tokens: DataFrame, source_lines: DataFrame) -> DataFrame:
-    """rev, path, pos, tokens of each distinct range of found, with its first and last line, its source lines, and its
-    tokens' text (in hex, each behind its length). Positions are opened and met by equality: a range costs its own
-    tokens, however long its file is and in however many pairs it occurs."""
-    side = lambda s: F.struct(F.col(f"{s}_path").alias("path"), F.col(f"{s}_pos").alias("pos"))
-    asked = found.select("rev", F.explode(F.array(side("a"), side("b"))).alias("s"), "tokens").select("rev", "s.path", "s.pos", "tokens").distinct()
-    # a file meets its ranges once for each slab of positions that they start in; they are cut out in place
-    asked = asked.groupBy("rev", "path", F.expr(f"pos div {SLAB}").alias("slab")).agg(F.collect_list(F.struct("pos", "tokens")).alias("asks"))
-    row = F.struct("pos", prefixed(F.col("text").cast("binary")).alias("said"), "line", "end_line")
-    files = tokens.join(asked.select("rev", "path").distinct(), ["rev", "path"], "left_semi").groupBy("rev", "path").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    cut = "slice(all, r.pos + 1, int(r.tokens))"
-    ends = f"element_at(all, int(r.pos + 1)).line as start, element_at(all, int(r.pos + r.tokens)).end_line as end"
-    made = F.expr(f"transform(asks, r -> struct(r.pos as first, r.tokens as tokens, {ends}, array_join(transform({cut}, t -> t.said), '') as said))")
-    whole = files.join(asked, ["rev", "path"]).select("rev", "path", F.explode(made).alias("r")).select("rev", "path", "r.*")
-    # how many source lines a file has up to a line: both sorted together and counted off
-    lines = source_lines.select("rev", "path", "line").distinct().withColumn("kind", F.lit(0))
-    wanted = whole.select("rev", "path", F.explode(F.array(F.col("start") - 1, "end")).alias("line")).distinct().withColumn("kind", F.lit(1))
-    order = W.partitionBy("rev", "path").orderBy("line", "kind").rowsBetween(W.unboundedPreceding, 0)
-    upto = lines.unionByName(wanted).withColumn("n", F.sum(1 - F.col("kind")).over(order)).where("kind = 1").drop("kind")
-    before = upto.select("rev", "path", (F.col("line") + 1).alias("start"), F.col("n").alias("n0"))
-    counted = whole.join(upto.withColumnRenamed("line", "end"), ["rev", "path", "end"]).join(before, ["rev", "path", "start"])
-    return counted.select("rev", "path", F.col("first").alias("pos"), "tokens", "start", "end", (F.col("n") - F.col("n0")).cast("int").alias("lines"), "said")
+    """rev, a_path, a_pos, b_path, b_pos, tokens of all maximal pairs that don't overlap themselves."""
+    return matches.matches(token_files(tokens), "codes", size).select("rev", "a_path", "a_pos", "b_path", "b_pos", "tokens")
 
 
 def clone_pairs(tokens: DataFrame, source_lines: DataFrame, size: int = CLONE_TOKENS, least_lines: int = CLONE_LINES) -> DataFrame:
@@ -101,14 +58,18 @@ def clone_pairs(tokens: DataFrame, source_lines: DataFrame, size: int = CLONE_TO
 
     tokens: rev, language, path, pos (from 0), text, line, end_line. Lines are the distinct source lines
     of the range, of the side that has fewer. Ids don't depend on positions."""
-    found = keep(extents(tokens, size).drop("language"), "extents")
-    known = keep(_ranges(found, tokens, source_lines), "ranges").where(F.col("lines") >= least_lines)
-    side = lambda s: known.select("rev", F.col("path").alias(f"{s}_path"), F.col("pos").alias(f"{s}_pos"), "tokens", *(F.col(c).alias(f"{s}_{c}") for c in ("start", "end", "lines", "said")))
-    both = found.join(side("a"), ["rev", "a_path", "a_pos", "tokens"]).join(side("b"), ["rev", "b_path", "b_pos", "tokens"]).where("a_said = b_said")
-    return both.select(
-        "rev", clone_id(F.col("a_path"), F.col("b_path"), F.col("a_said")).alias("id"), "a_path", "a_start", "a_end", "b_path", "b_start", "b_end",
-        F.col("tokens").cast("int").alias("tokens"), F.least("a_lines", "b_lines").alias("lines"),
-    )
+    found = matches.matches(token_files(tokens, source_lines), "codes", size, least_lines)
+    row = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    said = tokens.groupBy("rev", "path").agg(row.getField("text").alias("said"))
+    return matches.with_ids(found, said, "tokens").select("rev", "id", *PAIR)
+
+
+def text_pairs(files: DataFrame, ids: bool = False, size: int = CLONE_TOKENS, least_lines: int = CLONE_LINES) -> DataFrame:
+    """The same of files (rev, language, path, text) whose tokens are the words between blanks; ids only if asked for."""
+    found = matches.matches(files, "texts", size, least_lines)
+    if not ids:
+        return found.select("rev", *PAIR)
+    return matches.with_ids(found, files.select("rev", "path", F.col("text").alias("said")), "texts").select("rev", "id", *PAIR)
 
 
 def ranges(pairs: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select("rev", "language", "path", "pos", "w.text", "w.line", F.col("w.line").alias("end_line"))
 
 
+def text_files(docs: DataFrame, rev=None) -> DataFrame:
+    """rev, language, path, text: the files of tokens() whole."""
+    return docs.select((F.lit("r") if rev is None else rev).alias("rev"), F.col("lang").alias("language"), path_of(), "text")
+
+
 def path_of(key: str = "doc_id"):
     """d and the id, filled up to eight digits; longer ids are kept whole."""
     return F.expr(f"concat('d', lpad(cast({key} as string), greatest(8, length(cast({key} as string))), '0'))").alias("path")

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import subprocess
 from collections import Counter
 
@@ -397,3 +398,62 @@ def test_wide_ids_stay_apart(spark, tmp_path):
     assert sum(r.after_id is not None for rows in found for r in rows) == head.where("conv_id % 3 != 0").count()
     ids = spark.createDataFrame([(i,) for i in (7, 12345678, 123456780, 123456789)], "doc_id long")
     assert [r.path for r in ids.orderBy("doc_id").select(adapters.path_of()).collect()] == ["d00000007", "d12345678", "d123456780", "d123456789"]
+
+
+def spread(rng, files):
+    """Texts of words with random blanks, line ends and lines that hold only white space between them."""
+    gaps = [" ", " ", " ", "\t", "\n", "\r\n", "\n\n", "\n   \n", "\n\x0b\n"]
+    return {p: rng.choice(["", " ", "\n"]) + "".join(w + rng.choice(gaps) for w in words) for p, words in files.items()}
+
+
+def matches_by_hand(texts, size, least):
+    """Maximal matches with enough source lines, from exhaustive() over the words and their lines."""
+    words = {p: [(w, n) for n, line in enumerate(t.split("\n"), 1) for w in re.findall(r"[^ \t\r\n]+", line)] for p, t in texts.items()}
+    blank = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+    source = {p: {n for n, line in enumerate(t.split("\n"), 1) if not re.fullmatch(blank, line)} for p, t in texts.items()}
+    found = Counter()
+    for pa, x, pb, y, n in exhaustive({p: [w for w, _ in ws] for p, ws in words.items()}, size):
+        a, b = (words[pa][x][1], words[pa][x + n - 1][1]), (words[pb][y][1], words[pb][y + n - 1][1])
+        lines = min(len(source[p] & set(range(s, e + 1))) for p, (s, e) in ((pa, a), (pb, b)))
+        if lines >= least:
+            found[pa, *a, pb, *b, n, lines] += 1
+    return found
+
+
+@pytest.mark.parametrize("symbols, size, least", [(1, 5, 3), (2, 6, 4), (3, 5, 0), (5, 4, 2)])
+def test_pairs_of_texts_equal_the_exhaustive_detector_with_lines(spark, symbols, size, least):
+    rng = random.Random(symbols)
+    long = ["x" * 5000, "é" * 9, "abcdefgh", "abcdefghi", "\u2003"][:symbols]
+    files = {f"f{k:02}": [rng.choice(long) for _ in range(rng.randrange(60))] for k in range(9)}
+    files["copy"] = files["f03"]
+    texts = spread(rng, files)
+    rows = [("r", "go", p, t) for p, t in texts.items()] + [("r", "go", "null", None), ("r", None, "lost", texts["f03"])]
+    frame = spark.createDataFrame(rows, "rev string, language string, path string, text string")
+    got = [tuple(r[c] for c in clones.PAIR) for r in clones.text_pairs(frame, size=size, least_lines=least).collect()]
+    assert Counter(got) == matches_by_hand(texts, size, least)
+
+
+def test_large_groups_of_copies_meet_in_pairs_that_start_or_end_there(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(40)}" for _ in range(70)]
+    files = {}
+    for k in range(45):
+        own = list(base)
+        if k % 3:
+            own[rng.randrange(70)] = f"own{k % 5}"
+        files[f"f{k:02}"] = own
+    texts = {p: "\n".join(" ".join(w[i : i + 4]) for i in range(0, 70, 4)) for p, w in files.items()}
+    frame = spark.createDataFrame([("r", "go", p, t) for p, t in texts.items()], "rev string, language string, path string, text string")
+    got = Counter(tuple(r[c] for c in clones.PAIR) for r in clones.text_pairs(frame, size=20).collect())
+    assert got == matches_by_hand(texts, 20, 5)
+
+
+def test_windows_that_neither_start_nor_end_a_match_stay_in_their_task(spark):
+    from codeloam.operators import matches
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(3000)) for _ in range(8)]
+    frame = spark.createDataFrame([("r", "go", f"f{k}", t) for k, t in enumerate([*texts, texts[0], texts[1]])], "rev string, language string, path string, text string")
+    sent = spark.sparkContext.broadcast(matches._filter(frame, "texts", 50))
+    assert frame.mapInArrow(matches._window_rows("texts", 50, 0, sent), matches._WINDOW).count() < 1500
+    assert matches.matches(frame, "texts", 50).count() == 2
