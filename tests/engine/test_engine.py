@@ -457,3 +457,8 @@ def test_windows_that_neither_start_nor_end_a_match_stay_in_their_task(spark):
     sent = spark.sparkContext.broadcast(matches._filter(frame, "texts", 50))
     assert frame.mapInArrow(matches._window_rows("texts", 50, 0, sent), matches._WINDOW).count() < 1500
     assert matches.matches(frame, "texts", 50).count() == 2
+
+
+@pytest.mark.parametrize("name", ["clone_bag_diff", "clone_ranges_union", "clone_share", "touched_clone_lines"])
+def test_clone_queries_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
