@@ -193,34 +193,43 @@ def largest_contributor(deltas: DataFrame, sign: int) -> DataFrame:
     return fit.orderBy(*delta_order()).limit(1)
 
 
-def clone_changes(base: DataFrame, head: DataFrame, touched: DataFrame, mapped: DataFrame) -> DataFrame:
+_ENDS = [f"{s}_{e}" for s in "ab" for e in ("start", "end")]
+_PAIR = ["id", "a_path", "a_start", "a_end", "b_path", "b_start", "b_end", "tokens", "lines"]
+
+
+def clone_changes(base: DataFrame, head: DataFrame, touched: DataFrame, mapped: DataFrame | None) -> DataFrame:
     """change ('+' or '-') and the pair: identities that head has more often than base, or the other way.
 
-    Pairs whose four ends map onto a head pair of the same id match first; then as many of the rest as
-    both sides have cancel, from the front; what is left counts if a side of it is touched."""
-    cols = ["id", "a_path", "a_start", "a_end", "b_path", "b_start", "b_end", "tokens", "lines"]
-    order = ["a_path", "a_start", "b_path", "b_start", "a_end", "b_end"]
-    a = base.select(*cols).withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order)))
-    b = head.select(*cols).withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order)))
-    ends = F.array(*(F.struct(F.lit(f"{s}_{e}").alias("end"), F.col(f"{s}_path").alias("path"), F.col(f"{s}_{e}").alias("line")) for s in "ab" for e in ("start", "end")))
-    long = a.select("id", "n", F.explode(ends).alias("e")).select("id", "n", "e.*").join(mapped, ["path", "line"], "left")
-    wide = long.groupBy("id", "n").agg(*(F.max(F.when(F.col("end") == f"{s}_{e}", F.col("mapped"))).alias(f"m_{s}_{e}") for s in "ab" for e in ("start", "end")))
-    a = a.join(wide, ["id", "n"])
-    spot = ["id", "a_path", "b_path", "s0", "s1", "s2", "s3"]
-    where = lambda prefix: [F.col(f"{prefix}{s}_{e}").alias(f"s{i}") for i, (s, e) in enumerate((s, e) for s in "ab" for e in ("start", "end"))]
-    placed_a = a.select("id", "a_path", "b_path", "n", *where("m_")).dropna().withColumn("k", F.row_number().over(W.partitionBy(*spot).orderBy("n"))).withColumnRenamed("n", "na")
-    placed_b = b.select("id", "a_path", "b_path", "n", *where("")).withColumn("k", F.row_number().over(W.partitionBy(*spot).orderBy("n"))).withColumnRenamed("n", "nb")
-    met = placed_a.join(placed_b, [*spot, "k"]).select("id", "na", "nb")
-    rest_a = a.select(*cols, "n").join(met.select("id", F.col("na").alias("n")), ["id", "n"], "left_anti")
-    rest_b = b.select(*cols, "n").join(met.select("id", F.col("nb").alias("n")), ["id", "n"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("n"))
-    rest_a, rest_b = rest_a.withColumn("k", rank), rest_b.withColumn("k", rank)
-    gone = rest_a.join(rest_b.select("id", "k"), ["id", "k"], "left_anti").select(F.lit("-").alias("change"), *cols)
-    new = rest_b.join(rest_a.select("id", "k"), ["id", "k"], "left_anti").select(F.lit("+").alias("change"), *cols)
-    both = new.unionByName(gone)
+    Pairs whose four ends map onto a head pair of the same id match first (without mapped every line stays); then as many
+    of the rest as both sides have cancel, from the front; what is left counts if a side of it is touched."""
+    a = base.select(*_PAIR)
+    if mapped is None:
+        a = a.select("*", *(F.col(e).alias(f"m_{e}") for e in _ENDS))
+    else:
+        a = a.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("a_path", "a_start", "b_path", "b_start", "a_end", "b_end")))
+        ends = F.array(*(F.struct(F.lit(e).alias("end"), F.col(f"{e[0]}_path").alias("path"), F.col(e).alias("line")) for e in _ENDS))
+        long = a.select("id", "n", F.explode(ends).alias("e")).select("id", "n", "e.*").join(mapped, ["path", "line"], "left")
+        wide = long.groupBy("id", "n").agg(*(F.max(F.when(F.col("end") == e, F.col("mapped"))).alias(f"m_{e}") for e in _ENDS))
+        a = a.join(wide, ["id", "n"]).drop("n")
+    b = head.select(*_PAIR, *(F.col(e).alias(f"m_{e}") for e in _ENDS))
+    rows = a.withColumn("head", F.lit(False)).unionByName(b.withColumn("head", F.lit(True)))
+    return changed_sides(rows.repartition("id"), touched)
+
+
+def changed_sides(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """The same of pairs with head (false: of the base) and m_a_start to m_b_end, mapped ends. All steps group by id
+    first, so rows that are dealt by id are not shuffled again."""
+    spot = ["a_path", "b_path", *(f"m_{e}" for e in _ENDS)]
+    number = lambda *keys: F.row_number().over(W.partitionBy("id", *keys).orderBy("n"))
+    alone = lambda *keys: F.count(F.lit(1)).over(W.partitionBy("id", *keys)) == 1
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("id", "head").orderBy("a_path", "a_start", "b_path", "b_start", "a_end", "b_end")))
+    rows = rows.withColumn("placed", F.expr(" and ".join(f"m_{e} is not null" for e in _ENDS)))
+    rows = rows.withColumn("k", number("head", "placed", *spot)).withColumn("rest", ~F.col("placed") | alone("placed", *spot, "k"))
+    rows = rows.withColumn("k", number("head", "rest")).where("rest").withColumn("left", alone("k"))
+    rows = rows.where("left").select(F.when(F.col("head"), "+").otherwise("-").alias("change"), *_PAIR)
     hit = touched.select("path").distinct()
-    either = both.join(hit.withColumnRenamed("path", "a_path").withColumn("ta", F.lit(1)), "a_path", "left").join(hit.withColumnRenamed("path", "b_path").withColumn("tb", F.lit(1)), "b_path", "left")
-    return either.where("ta = 1 or tb = 1").select("change", *cols)
+    either = rows.join(hit.withColumnRenamed("path", "a_path").withColumn("ta", F.lit(1)), "a_path", "left").join(hit.withColumnRenamed("path", "b_path").withColumn("tb", F.lit(1)), "b_path", "left")
+    return either.where("ta = 1 or tb = 1").select("change", *_PAIR)
 
 
 def touched_lines(clone_lines: DataFrame, touched: DataFrame) -> DataFrame:

@@ -462,3 +462,52 @@ def test_windows_that_neither_start_nor_end_a_match_stay_in_their_task(spark):
 @pytest.mark.parametrize("name", ["clone_bag_diff", "clone_ranges_union", "clone_share", "touched_clone_lines"])
 def test_clone_queries_equal_their_sql(spark, name):
     test_queries_equal_their_sql(spark, name)
+
+
+def test_only_windows_with_different_neighbours_are_sent(spark):
+    from codeloam.operators import matches
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(3000)) for _ in range(8)]
+    frame = spark.createDataFrame([("r", "go", f"f{k}", t) for k, t in enumerate([*texts, texts[0], texts[1]])], "rev string, language string, path string, text string")
+    share = spark.sparkContext.broadcast
+    sent = share(matches._filter(frame, "texts", 50))
+    for sides, least, n in (("se", 0, 8), ("s", 0, 4), ("se", 2, 0)):
+        only = share(matches._bits(frame.mapInArrow(matches._gram_rows("texts", 50, least, sides, sent), "h long, l long, r long")))
+        assert frame.mapInArrow(matches._window_rows("texts", 50, least, sent, only), matches._WINDOW).count() == n
+
+
+def test_clone_bag_diff_finds_pairs_once(spark):
+    from codeloam.plans.queries import QUERIES
+
+    plan = QUERIES["clone_bag_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # windows, edges, matches, ids
+
+
+def changes_by_hand(base, head, touched, mapped):
+    found = []
+    for one in {p[0] for p in base + head}:
+        order = lambda p: (p[1], p[2], p[4], p[5], p[3], p[6])
+        a, b = (sorted((p for p in rows if p[0] == one), key=order) for rows in (base, head))
+        for p in list(a):
+            to = (p[0], p[1], mapped(p[1], p[2]), mapped(p[1], p[3]), p[4], mapped(p[4], p[5]), mapped(p[4], p[6]))
+            if None not in to and to in b:
+                a.remove(p)
+                b.remove(to)
+        n = min(len(a), len(b))
+        found += [("-", *p) for p in a[n:]] + [("+", *p) for p in b[n:]]
+    return Counter(r for r in found if r[2] in touched or r[5] in touched)
+
+
+@pytest.mark.parametrize("moves", [False, True])
+def test_clone_changes_of_bags_with_repeats(spark, moves):
+    rng = random.Random(6)
+    pair = lambda: (f"id{rng.randrange(12)}", f"f{rng.randrange(2)}", (x := rng.randrange(1, 4)), x + 5, f"g{rng.randrange(2)}", (y := rng.randrange(1, 4)), y + 5)
+    base, head = [pair() for _ in range(150)], [pair() for _ in range(140)]
+    to = {(p, n): (None if n == 2 else n + 1) if moves and p == "f1" else n for p in ("f0", "f1", "g0", "g1") for n in range(1, 9)}
+    names = "id string, a_path string, a_start int, a_end int, b_path string, b_start int, b_end int, tokens int, lines int"
+    frames = [spark.createDataFrame([(*p, 50, 5) for p in rows], names) for rows in (base, head)]
+    touched = spark.createDataFrame([("f1",), ("g0",)], "path string")
+    mapped = spark.createDataFrame([(*k, v) for k, v in to.items()], "path string, line int, mapped int") if moves else None
+    got = Counter(tuple(r)[:-2] for r in diff.clone_changes(*frames, touched, mapped).collect())
+    assert got == changes_by_hand(base, head, {"f1", "g0"}, lambda p, n: to[p, n]) and len(got) > 5
