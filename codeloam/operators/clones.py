@@ -72,6 +72,11 @@ def text_pairs(files: DataFrame, ids: bool = False, size: int = CLONE_TOKENS, le
     return matches.with_ids(found, files.select("rev", "path", F.col("text").alias("said")), "texts").select("rev", "id", *PAIR)
 
 
+def text_ranges(files: DataFrame, size: int = CLONE_TOKENS, least_lines: int = CLONE_LINES) -> DataFrame:
+    """ranges() with the same union as those of text_pairs(), without making all pairs."""
+    return matches.text_ranges(files, size, least_lines)
+
+
 def ranges(pairs: DataFrame) -> DataFrame:
     side = lambda s: F.struct(F.col(f"{s}_path").alias("path"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"))
     return pairs.select("rev", F.explode(F.array(side("a"), side("b"))).alias("r")).select("rev", "r.path", "r.start", "r.end")
@@ -82,11 +87,17 @@ def union_ranges(found: DataFrame) -> DataFrame:
     order = W.partitionBy("rev", "path").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    marked = found.distinct().withColumn("reach", reach).withColumn("island", island)
+    longest = found.groupBy("rev", "path", "start").agg(F.max("end").alias("end"))
+    marked = longest.withColumn("reach", reach).withColumn("island", island)
     return marked.groupBy("rev", "path", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def clone_lines(pairs: DataFrame, source_lines: DataFrame) -> DataFrame:
     """rev, path, bucket, line: source lines inside any clone. Ranges are opened into lines, so the join is on equality."""
-    inside = union_ranges(ranges(pairs)).select("rev", "path", F.explode(F.sequence("start", "end")).alias("line")).distinct()
+    return covered_lines(ranges(pairs), source_lines)
+
+
+def covered_lines(found: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """The same of ranges."""
+    inside = union_ranges(found).select("rev", "path", F.explode(F.sequence("start", "end")).alias("line")).distinct()
     return source_lines.join(inside, ["rev", "path", "line"], "left_semi").select("rev", "path", "bucket", "line").distinct()

@@ -484,6 +484,42 @@ def test_clone_bag_diff_finds_pairs_once(spark):
     assert plan.count("MapInArrow") == 4  # windows, edges, matches, ids
 
 
+def copied(rng):
+    """Texts in groups of copies, with repeats inside, that have passages in common, and a pair of copies with too few lines."""
+    words = [f"w{k}" for k in range(12)]
+    base = [rng.choice(words) for _ in range(40)]
+    own = {"a": base * 2, "b": [rng.choice(words) for _ in range(15)] + base[5:35], "c": ["same"] * 30, "d": base[10:25]}
+    texts = {k: "\n".join(" ".join(w[i : i + 3]) for i in range(0, len(w), 3)) for k, w in own.items()}
+    return {f"{(7 * i + 3) % 10}{k}{i}": t for k, t in texts.items() for i in range(4)} | {"5flat": " ".join(base), "1flat": " ".join(base)}
+
+
+def test_ranges_of_copies_have_the_union_of_all_pairs(spark):
+    texts = copied(random.Random(6))
+    frame = spark.createDataFrame([("r", "go", p, t) for p, t in texts.items()], "rev string, language string, path string, text string")
+    pairs = matches_by_hand(texts, 8, 3)
+    assert Counter(tuple(r[c] for c in clones.PAIR) for r in clones.text_pairs(frame, size=8, least_lines=3).collect()) == pairs
+    want = {p: set() for p in texts}
+    for a, a0, a1, b, b0, b1, _, _ in pairs:
+        want[a] |= set(range(a0, a1 + 1))
+        want[b] |= set(range(b0, b1 + 1))
+    got = {p: set() for p in texts}
+    for r in clones.text_ranges(frame, 8, 3).collect():
+        got[r.path] |= set(range(r.start, r.end + 1))
+    assert got == want and not want["5flat"]
+
+
+def test_copies_are_compared_once(spark):
+    from codeloam.operators import matches
+
+    texts = copied(random.Random(6))
+    rows = [("r", "go", p, t) for p, t in texts.items()] + [("r", "py", "9py", texts["1flat"])]
+    firsts, several = matches.copies(spark.createDataFrame(rows, "rev string, language string, path string, text string"), 8)
+    assert sorted(r.path for r in firsts.collect()) == ["0a1", "0b1", "0c1", "0d1", "1flat", "9py"]
+    assert {r.path: (len(r.paths), r.tokens, r.lines) for r in several.collect()} == {"0a1": (4, 80, 27), "0b1": (4, 45, 15), "0c1": (4, 30, 10), "0d1": (4, 15, 5), "1flat": (2, 40, 1)}
+    again = spark.createDataFrame([*rows, ("r", "go", "0a1", "other")], "rev string, language string, path string, text string")
+    assert sorted(r.path for r in matches.copies(again, 8)[0].collect() if r.path[1] == "a") == ["0a1", "0a1", "3a0"]
+
+
 def changes_by_hand(base, head, touched, mapped):
     found = []
     for one in {p[0] for p in base + head}:
