@@ -66,7 +66,7 @@ def clone_pairs(tokens: DataFrame, source_lines: DataFrame, size: int = CLONE_TO
 
 def text_pairs(files: DataFrame, ids: bool = False, size: int = CLONE_TOKENS, least_lines: int = CLONE_LINES) -> DataFrame:
     """The same of files (rev, language, path, text) whose tokens are the words between blanks; ids only if asked for."""
-    found = matches.matches(files, "texts", size, least_lines)
+    found = matches.text_matches(files, size, least_lines)
     if not ids:
         return found.select("rev", *PAIR)
     return matches.with_ids(found, files.select("rev", "path", F.col("text").alias("said")), "texts").select("rev", "id", *PAIR)
